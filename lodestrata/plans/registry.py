@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import general
+from lodestrata.plans import corpus, general, records
 
-_PLANS = [general]
+_PLANS = [general, corpus, records]
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}
