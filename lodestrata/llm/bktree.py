@@ -57,20 +57,24 @@ def allowed(word: str) -> float:
 
 
 def edits(a: str, b: str) -> float:
-    """Insertions, deletions, replacements and exchanges of neighbours from ``a`` to ``b``; a final s is a quarter."""
+    """Insertions, deletions, replacements and exchanges of neighbours from ``a`` to ``b``.
+
+    A final s is a quarter. A replacement by one certain letter is rarer than a letter left out or
+    doubled, so it counts a little more: it decides between words that are equally near.
+    """
     if a + "s" == b or b + "s" == a:
         return 0.25
-    before, row = [], list(range(len(b) + 1))
+    before, row = [], [float(j) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        new = [i]
+        new = [float(i)]
         for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
+            d = min(row[j] + 1, new[-1] + 1, row[j - 1] + (1.05 if x != y else 0))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, before[j - 2] + 1)
             new.append(d)
         before, row = row, new
     plural = row[-2] if b.endswith("s") and len(b) > 3 and not a.endswith("s") else None
-    return float(row[-1]) if plural is None else min(float(row[-1]), plural + 0.25)
+    return row[-1] if plural is None else min(row[-1], plural + 0.25)
 
 
 def levenshtein(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -202,7 +206,7 @@ class Reference:
             for at, d in near:
                 other = self.tree.words[at]
                 cost = edits(word, other) if d else 0.0
-                if cost <= allowed(min(word, other, key=len)):
+                if cost <= allowed(min(word, other, key=len)) + 0.4:
                     costs[self.tree_number[at]] = cost
             if short and len(word) >= 3:
                 for other, i in self.number.items():
@@ -229,7 +233,7 @@ class Reference:
             if n < len(core) or must > len(core):
                 continue
             cost = self._cost(options, core, self.rest[i])
-            if cost is None or cost > min(MOST_EDITS, 0.5 + SHARE_OF_LETTERS * sum(len(self.vocabulary[w]) for w in core)):
+            if cost is None or cost > min(MOST_EDITS, 0.7 + SHARE_OF_LETTERS * sum(len(self.vocabulary[w]) for w in core)):
                 continue
             rated = (cost, self.ranks[i], self.targets[i] or "")
             # At equal cost a valid target goes before none.

@@ -95,16 +95,18 @@ class Model:
         self.classes, self.table = classes, table
 
     def trigrams(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the trigram that ends at each position kept, and those positions; runs of blanks count as one."""
+        """Index of the trigram that ends at each position kept, and those positions.
+
+        Runs of blanks count as one; the mark between texts counts as another, so that every text
+        starts after two blanks, whatever stands before it.
+        """
         kinds = self.classes[np.where(points < 0x10000, points, 0xFFFF)]
-        kept = np.ones(len(kinds), dtype=bool)
-        kept[1:] = (kinds[1:] != 0) | (kinds[:-1] != 0)
+        kept = kinds != 0
+        kept[1:] |= kinds[:-1] != 0
+        kept |= points == 0
         at = np.flatnonzero(kept)
-        k = kinds[at].astype(np.int64)
-        index = np.empty(len(k), dtype=np.int64)
-        index[:2] = 0
-        index[2:] = (k[:-2] << 12) | (k[1:-1] << 6) | k[2:]
-        return index, at
+        k = np.concatenate(([0, 0], kinds[at])).astype(np.int64)
+        return (k[:-2] << 12) | (k[1:-1] << 6) | k[2:], at
 
     def scores(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Log-likelihood (units x languages) of the units that start at ``starts``."""
@@ -141,6 +143,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
         two = (pair + 1e-3) / (np.repeat(pair.reshape(64, 64).sum(1), 64) + 64e-3)
         three = (even + np.tile(two, 64)) / (np.repeat(even.reshape(-1, 64).sum(1), 64) + 1)
         model.table = np.log((n3 + BACKOFF * three[:, None]) / (n2 + BACKOFF)).astype(np.float32)
+        model.table.reshape(64, 4096, size)[:, 0] = 0  # two blanks in a row tell nothing
         scores = model.scores(points, starts)
         # A text's sentences follow the text unless they speak clearly for another language.
         whole = np.zeros((len(texts), size))
