@@ -48,7 +48,7 @@ schakel javascript in|javascript inschakelen|javascript is uitgeschakeld|zet jav
 #: Filler and notes to the writer.
 FILLER = """
 lorem ipsum|ipsum dolor|sample text|dummy text|placeholder text|filler text|text goes here|your text here|description goes here|add text here|add description here|enter description here|insert text here|insert title here|title goes here|job title here|insert paragraph|about the team here
-this is a test posting|this is a test|test posting|please ignore|test test|test job|do not apply|do not publish|replace this sentence|before publishing|replace this text|replace me|to be supplied|description to be supplied by|to be added|to be completed|to be defined|description to follow|text to follow|coming soon|content to come|tbd|tba|todo|fixme|xxx|add responsibilities|add requirements|add benefits|blah|blah blah|qwerty|asdf|asdfgh|foo bar|foobar|untitled|no title
+this is a test posting|this is a test|test posting|please ignore|test test|test job|do not apply|do not publish|replace this sentence|before publishing|replace this text|replace me|to be supplied|description to be supplied by|to be added|to be completed|to be defined|description to follow|text to follow|coming soon|content to come|tbd|tba|todo|fixme|xxx|add responsibilities|add requirements|add benefits|blah|blah blah|blah description blah|qwerty|asdf|asdfgh|foo bar|foobar|untitled|no title
 beispieltext|blindtext|platzhaltertext|text folgt|beschreibung folgt|hier text einfügen|titel einfügen|bitte ignorieren|dies ist ein test|texte d'exemple|texte de remplissage|texte à venir|description à venir|insérer le texte ici|ceci est un test|veuillez ignorer
 texto de ejemplo|texto de relleno|descripción pendiente|insertar texto aquí|esto es una prueba|por favor ignorar|texto de exemplo|descrição a definir|inserir texto aqui|isto é um teste|por favor ignore|testo di esempio|testo segnaposto|descrizione in arrivo|inserire testo qui|questo è un test|si prega di ignorare|voorbeeldtekst|opvultekst|tekst volgt|beschrijving volgt|voeg hier tekst in|dit is een test|gelieve te negeren
 """
@@ -67,10 +67,10 @@ _ALNUM = re.compile(r"[^\W_]")
 _NAME = r"[A-Za-zÀ-ÿ][\w.\- ]{0,48}"
 #: Shapes that only templates have.
 _SURE = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}|\{%[^\n]{0,120}?%\}|<%[^\n]{0,120}?%>|&lt;%[^\n]{0,120}?%&gt;|[$#]\{[^{}\n]{1,60}\}|\{#[^{}\n]{0,40}\}"
+    r"\{\{[^{}\n]{0,80}\}\}|\{%[^\n]{0,120}?%\}|<%[^\n]{0,120}?%>|&lt;%[^\n]{0,120}?%&gt;|[$#]\{[^{}\n]{1,60}\}|\{#[^{}\n]{0,40}\}|\{\d{1,2}\}|%\(\w{1,40}\)[sd]"
     rf"|\[\[\s?{_NAME}\s?\]\]|<<\s?{_NAME}\s?>>|&lt;&lt;\s?{_NAME}\s?&gt;&gt;|\|\*{_NAME}\*\||\*\|{_NAME}\|\*|@@{_NAME}@@|%%{_NAME}%%|\$\$[A-Za-z]\w{{1,40}}\$\$"
-    r"|(?<!\w)_{2,}[A-Za-z][\w.\- ]{0,40}?_{2,}(?!\w)|(?<![\w%])%[A-Za-z][A-Za-z_.]{2,40}%(?![\w%])"
-    r"|\[object Object\]|\bNaN\b|\bundefined undefined\b|\bnull null\b"
+    r"|(?<!\w)_{2,}[A-Za-z][\w.\- ]{0,40}?_{2,}(?!\w)|(?<![\w%])%[A-Za-z][A-Za-z_.]{2,40}%(?![\w%])|(?<![\w#])#[A-Z][A-Z0-9_]{2,40}#(?![\w#])"
+    r"|\[object Object\]|\bNaN\b|\b(?:undefined|null)\b(?:\W{1,3}(?:undefined|null)\b)+"
 )
 #: Brackets that hold a field's name in templates and other things elsewhere.
 _MAYBE = re.compile(r"\[([^\[\]\n]{2,60})\]|<([^<>\n]{2,60})>|&lt;([^&\n]{2,60})&gt;|«\s?([^«»\n]{2,60}?)\s?»|\{([^{}\n]{2,60})\}")

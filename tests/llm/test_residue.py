@@ -8,7 +8,7 @@ REAL = "You will plan the work of the team. We offer 404 days of leave and flexi
 @pytest.mark.parametrize("text,kind", [
     ("{{ job.title }}", "template"), (f"{REAL} Contact ${{recruiter.email}} now.", "template"), ("Engineer (%first_name%)", "template"), ("__ROLE_NAME__", "template"), ("Welcome to [COMPANY NAME]", "template"),
     ("Hours: «hours»", "template"), ("You report to <insert manager here>.", "template"), ("[insert team] Engineer", "template"), ("Benefits: [object Object]", "template"), ("At least NaN years", "template"),
-    ("<% if x %> health <% end %>", "template"), ("Start: {start_date}", "template"), ("&lt;office_city&gt;", "template"), ("|*NAME*|", "template"), ("@@CITY@@", "template"), ("#{name}", "template"),
+    ("<% if x %> health <% end %>", "template"), ("Start: {start_date}", "template"), ("&lt;office_city&gt;", "template"), ("|*NAME*|", "template"), ("@@CITY@@", "template"), ("#{name}", "template"), ("We are #COMPANY_SHORT# and we care.", "template"), ("Senior {0} Editor", "template"), ("undefined - undefined", "template"), ("blah blah blah description blah (id 57f527)", "filler"),
     ("404 - page not found", "error"), ("Access denied. Reference no. 1.2", "error"), ("Seite nicht gefunden. Bitte prüfen Sie die Adresse.", "error"), ("Página no encontrada", "error"), ("503 Service Unavailable.", "error"),
     ("Bad gateway (upstream Xyz timed out)", "error"), ("You need to enable JavaScript to run this app.", "script"), ("Veuillez activer JavaScript pour afficher cette offre.", "script"), ("Loading... If nothing happens, allow scripts for this page.", "script"),
     ("Lorem ipsum dolor sit amet, consectetur elit.", "filler"), ("MAGNA ELIT SED LOREM VITAE NULLA", "filler"), (f"{REAL}\n- TODO: add responsibilities", "filler"), ("qwerty qwerty qwerty 12", "filler"), ("This is a test posting, please ignore.", "filler"),
@@ -21,7 +21,7 @@ def test_residue(text, kind):
 @pytest.mark.parametrize("text", [
     REAL, "", "   ", "Our error pages are famous: you design what people see when access is denied.", "You will reduce 404 and 503 errors on our public pages by half.", "JavaScript is required for this role, as is patience with old browsers.",
     "You replace lorem ipsum in our drafts with clear words that customers understand.", "You explain to clients how scripts and cookies are switched on in a browser.", "JavaScript Engineer [Remote]", "Candidates on short contracts [B2B] are welcome <3.",
-    "You pick one of {Python, Go, Rust} for your own work.", "Pay grade: $70k-$95k (100% on site).", "Placeholder Copy Editor", "Error Page Designer", "Test Manager Bay", "We test, and test again, before we publish.",
+    "You pick one of {Python, Go, Rust} for your own work.", "Pay grade: $70k-$95k (100% on site).", "Placeholder Copy Editor", "Error Page Designer", "Test Manager Bay", "Null Safety Engineer", "Template Editor", "Site Maintenance Planner", "#hiring in C#, F#", "We test, and test again, before we publish.",
     "«Bonjour», dit le chef.", "Sin dolor: sed y nulla no bastan.", "Join our talent pool",
 ])
 def test_real_text(text):
@@ -30,7 +30,7 @@ def test_real_text(text):
 
 def test_field_names():
     assert all(map(field_name, ["first_name", "jobTitle", "job.location.city", "DEPARTMENT", "Candidate First Name", "insert x here"]))
-    assert not any(map(field_name, ["Remote", "B2B", "Python, Go", "3"]))  if not field_name("3") else True
+    assert not any(map(field_name, ["Remote", "B2B", "Python, Go"]))
 
 
 def test_table(spark):
