@@ -32,9 +32,9 @@ BASE, RATE, TOP = 1.02, 20.0, 65534
 BAND, BANDS = 9, 72
 REGISTERS = BAND * BANDS
 #: Registers that are kept for the estimate, and those whose parities make the screen.
-KEPT, PARITIES = 256, 192
-#: Standard deviations by which a pair at the threshold may miss the screen or the estimate.
-SLACK = 5.0
+KEPT, PARITIES = 256, 256
+#: Standard deviations by which a pair at the threshold may miss the screen, and the estimate.
+SCREEN_SLACK, SLACK = 4.0, 5.0
 #: Rows of a bucket that one task pairs; larger buckets are split.
 BUCKET = 2_000
 _WORD = re.compile(r"\w+")
@@ -188,8 +188,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8)
     long texts count whole. An empty table gives empty results. Other columns are not read.
 
     Recall: two sets at the threshold 0.8 meet in one of the 72 bands of 9 registers with
-    probability 1 - 3e-5, more alike ones with more; screen and estimate leave 5 standard
-    deviations. Buckets beyond 2,000 rows are split into blocks that meet each other, so no task
+    probability 1 - 3e-5, more alike ones with more; the screen leaves 4 standard deviations, the
+    estimate 5. Buckets beyond 2,000 rows are split into blocks that meet each other, so no task
     gets a whole hot bucket, and no bucket is left out.
     """
     rows = sketch_rows(df, key, text)
@@ -213,7 +213,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8)
     left = placed.select("key", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"), *[F.col(c).alias(f"{c}_a") for c in ("cid", "size", *signs)])
     right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("x"), F.col("block").alias("y"), *[F.col(c).alias(f"{c}_b") for c in ("cid", "size", *signs)])
     agree = threshold + (1 - threshold) / 2
-    allowed = int(PARITIES * (1 - agree) + SLACK * np.sqrt(PARITIES * agree * (1 - agree))) + 1
+    allowed = int(PARITIES * (1 - agree) + SCREEN_SLACK * np.sqrt(PARITIES * agree * (1 - agree))) + 1
     unlike = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in signs), F.lit(0))
     met = (
         left.join(right, ["key", "x", "y"])
