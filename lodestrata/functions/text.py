@@ -75,7 +75,7 @@ def paragraphs(text: Column) -> Column:
 
 def split_labels(text: Column) -> Column:
     """Lines, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def dropped_labels(text: Column) -> Column:
@@ -85,7 +85,7 @@ def dropped_labels(text: Column) -> Column:
 
 
 def split_uris(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\n,]+"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[\n,]+"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def occurrences(text: Column, needle: Column) -> Column:

@@ -87,7 +87,7 @@ def zero_filled(counts: DataFrame, labels: list[str], key: str, value: str) -> D
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """``(a, b, rows)`` with margins: rows with 'All' in one or both."""
-    filled = df.select(*[F.coalesce(F.col(c), F.lit("(null)")).alias(c) for c in (a, b)])
+    filled = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("(null)")).alias(c) for c in (a, b)])
     return filled.cube(a, b).agg(F.count("*").alias("rows"), F.grouping(a).alias("_a"), F.grouping(b).alias("_b")).select(
         F.when(F.col("_a") == 1, "All").otherwise(F.col(a)).alias(a), F.when(F.col("_b") == 1, "All").otherwise(F.col(b)).alias(b), "rows"
     )

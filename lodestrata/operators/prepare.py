@@ -23,14 +23,16 @@ def build_rows(jobs: DataFrame, boards: DataFrame, version: str) -> DataFrame:
     hand, which the planner broadcasts by its size. Jobs of unknown boards are left out; see
     ``unmatched_boards``. The order for duplicates is the boards' own, then the numeric job id.
     """
-    rows = jobs.join(boards, "board_token").select("*", "job.*")
+    rows = jobs.join(boards.withColumnRenamed("company_name", "board_company"), "board_token").select(
+        *boards.drop("company_name").columns, "board_company", "snapshot_id", "fetched_at", "job.*"
+    )
     clean = rows.withColumn("clean_text", html_to_text("content"))
     reason = placeholder_reason(F.col("title"), F.col("clean_text"))
     built = clean.select(
         F.concat_ws(":", F.lit("board"), "board_token", F.col("id").cast("string")).alias("posting_id"),
         F.lit("board").alias("source"), F.col("id").cast("string").alias("source_job_id"),
-        F.col("internal_job_id").cast("string").alias("internal_job_id"), "board_token", "company_name",
-        F.col("job.company_name").alias("source_company_name"), "title", F.col("location.name").alias("location"),
+        F.col("internal_job_id").cast("string").alias("internal_job_id"), "board_token", F.col("board_company").alias("company_name"),
+        F.col("company_name").alias("source_company_name"), "title", F.col("location.name").alias("location"),
         names("departments").alias("departments"), names("offices").alias("offices"),
         F.col("content").alias("raw_text"), "clean_text", "absolute_url", F.col("updated_at").alias("source_updated_at"),
         "fetched_at", "snapshot_id", "industry", "industry_source", F.col("language").alias("source_language"),
