@@ -68,30 +68,54 @@ def cycle_nodes(links: DataFrame) -> DataFrame:
     return grown.where(F.col("low") == F.col("high")).select(F.col("low").alias("node")).unionByName(own).distinct()
 
 
+def fold_runs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Folds unbranched runs of cycle-free links: ``runs (node, head, below)`` and ``hops (node, child, below)``.
+
+    A node with one parent that has no other child belongs to the run of that parent: its paths are
+    those of the run's head with ``below``, the nodes from there down to it. Runs are found by
+    doubling, so one of n links takes log2 n rounds. ``hops`` are the links to all other nodes,
+    seen from the head of the run they start from.
+    """
+    single_child = links.groupBy("parent").agg(F.count("*").alias("n")).where("n = 1").select("parent")
+    single_parent = links.groupBy("child").agg(F.count("*").alias("n")).where("n = 1").select("child")
+    inside = links.join(single_child, "parent", "left_semi").join(single_parent, "child", "left_semi")
+    runs, count = cut_counted(inside.select(F.col("child").alias("node"), F.col("parent").alias("head"), F.array("child").alias("below"), F.lit(True).alias("moved")), "runs")
+    while count:
+        above = runs.select(F.col("node").alias("head"), F.col("head").alias("far"), F.col("below").alias("between"))
+        doubled = runs.join(above, "head", "left").select(
+            "node", F.coalesce("far", "head").alias("head"), F.when(F.col("far").isNotNull(), F.concat("between", "below")).otherwise(F.col("below")).alias("below"), F.col("far").isNotNull().alias("moved")
+        )
+        runs, _ = cut_counted(doubled, "runs")
+        count = runs.where("moved").count()
+    outside = links.join(runs.select(F.col("node").alias("child")), "child", "left_anti")
+    hops = outside.join(runs.select(F.col("node").alias("parent"), "head", "below"), "parent", "left").select(
+        F.coalesce("head", "parent").alias("node"), "child", F.concat(F.coalesce("below", F.array().cast("array<string>")), F.array("child")).alias("below")
+    )
+    return runs.select("node", "head", "below"), cut(hops, "hops")
+
+
 def grow_paths(roots: DataFrame, links: DataFrame) -> DataFrame:
     """All paths ``(node, root, depth, path)`` from ``roots`` down cycle-free ``(child, parent)`` links.
 
-    ``path`` is the array of nodes from root to node; a root has depth 0. One join a level, whose
-    rows are written, so that plans stay flat and a lost executor repeats one level at most. A
-    small frontier goes to the links as a broadcast, since the size of what was written is known
-    to the planner; a large one meets them by a shuffle. The links are held by the executors.
+    ``path`` is the array of nodes from root to node; a root has depth 0. Unbranched runs are folded
+    first, so that a few long chains don't cost a join for each of their links. Then one join a
+    level, whose rows are written, so that plans stay flat and a lost executor repeats one level at
+    most. A small frontier goes to the links as a broadcast, since the size of what was written is
+    known to the planner; a large one meets them by a shuffle. The links are held by the executors.
     """
-    links = links.select("child", F.col("parent").alias("node")).persist(StorageLevel.MEMORY_AND_DISK)
-    frontier, count = cut_counted(
-        roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path")), "level"
-    )
+    runs, hops = fold_runs(links)
+    hops = hops.persist(StorageLevel.MEMORY_AND_DISK)
+    frontier, count = cut_counted(roots.select("node", F.col("node").alias("root"), F.array("node").alias("path")), "level")
     levels = [frontier]
     while count:
         frontier, count = cut_counted(
-            frontier.join(links, "node").select(
-                F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth"),
-                F.concat("path", F.array("child")).alias("path"),
-            ),
-            "level",
+            frontier.join(hops, "node").select(F.col("child").alias("node"), "root", F.concat("path", "below").alias("path")), "level"
         )
         levels.append(frontier)
-    links.unpersist()
-    return together(levels)
+    hops.unpersist()
+    heads = together(levels)
+    inside = heads.withColumnRenamed("node", "head").join(runs, "head").select("node", "root", F.concat("path", "below").alias("path"))
+    return heads.unionByName(inside).select("node", "root", (F.size("path") - 1).alias("depth"), "path")
 
 
 def hierarchy(df: DataFrame, child: str = "concepturi", parent: str = "broaderuri") -> DataFrame:
