@@ -185,3 +185,32 @@ def utc_stamp(moment: Column) -> Column:
 
 def snapshot_stamp(moment: Column) -> Column:
     return F.date_format(moment, "yyyyMMdd'T'HHmmss'Z'")
+
+
+def note_flags(notes: Column) -> Column:
+    """Flags that a note's wording sets, in order; none for null."""
+    n = F.coalesce(notes, F.lit(""))
+    return F.array_compact(F.array(
+        F.when(F.contains(n, F.lit("DISCUSS")), "discuss"), F.when(F.contains(n, F.lit("illustrative list")), "illustrative"), F.when(n.startswith("AI-SUGGESTED"), "suggested_addition"),
+    ))
+
+
+def version_in(line: Column) -> Column:
+    """The first version like v1.2 in a line, without its v; null if there is none."""
+    return F.nullif(F.regexp_extract(line, r"\bv(\d+(?:\.\d+)+)", 1), F.lit(""))
+
+
+def relabelled(value: Column, labels: dict[str, str], default: str = "unknown") -> Column:
+    """Display label of a value."""
+    found = F.lit(default)
+    for k, v in labels.items():
+        found = F.when(value == k, v).otherwise(found)
+    return found
+
+
+def envelope(tag: str, text: Column, **attributes: Column) -> Column:
+    """A text between tags with attributes, as prompts carry it; nulls are empty."""
+    head = [F.lit(f"<{tag}")]
+    for name, column in attributes.items():
+        head += [F.lit(f' {name}="'), F.coalesce(column.cast("string"), F.lit("")), F.lit('"')]
+    return F.concat(*head, F.lit(">\n"), F.coalesce(text, F.lit("")), F.lit(f"\n</{tag}>"))

@@ -115,3 +115,52 @@ def segments(spans: DataFrame, texts: DataFrame, keys: list[str], text: str = "c
         F.array_sort(F.collect_set(F.when((F.col("start") <= F.col("_from")) & (F.col("_to") <= F.col("end")), F.col("id")))).alias("ids")
     )
     return covered.select(*keys, F.col("_from").alias("start"), F.col("_to").alias("end"), "ids")
+
+
+#: What annotation fields may hold.
+REQUIREMENTS = ("required", "preferred", "unclear")
+STATUSES = ("not_started", "in_progress", "reviewed")
+
+
+def annotation_problems(skills: DataFrame, texts: DataFrame, selected: DataFrame | None = None, snapshot_id: str | None = None, requirements: tuple[str, ...] = REQUIREMENTS) -> DataFrame:
+    """``(annotation_id, field, problem)`` of annotation rows, one for each rule that a row breaks.
+
+    Rules: a posting of the selection and snapshot (where given), an id that is there and used once,
+    a statement, a known requirement, an annotator, offsets within the text, the text there, no
+    blanks at its ends, no statement and span twice, and a well-formed alternative group. A row
+    whose posting has no text is checked for everything but its span.
+    """
+    rows = skills.join(texts.select("snapshot_id", "posting_id", F.col("clean_text").alias("_text")), ["snapshot_id", "posting_id"], "left")
+    if selected is not None:
+        rows = rows.join(selected.select("posting_id", F.lit(True).alias("_selected")).distinct(), "posting_id", "left")
+    c = F.col
+    uses = Window.partitionBy("annotation_id")
+    spans = Window.partitionBy("snapshot_id", "posting_id", "evidence_start", "evidence_end", F.lower(F.trim("skill_statement")))
+    blank = lambda n: F.coalesce(F.trim(c(n)), F.lit("")) == ""
+    inside = (c("evidence_start") >= 0) & (c("evidence_start") < c("evidence_end")) & (c("evidence_end") <= F.length("_text"))
+    counted = rows.withColumn("_uses", F.count("*").over(uses)).withColumn("_spans", F.count("*").over(spans))
+    rules = [
+        ("posting_id", c("_selected").isNull() if selected is not None else F.lit(False), "not selected"),
+        ("snapshot_id", c("snapshot_id") != snapshot_id if snapshot_id else F.lit(False), "another snapshot"),
+        ("annotation_id", blank("annotation_id"), "empty"), ("annotation_id", ~blank("annotation_id") & (c("_uses") > 1), "used more than once"),
+        ("skill_statement", blank("skill_statement"), "empty"), ("annotator_id", blank("annotator_id"), "empty"),
+        ("required_or_preferred", ~F.coalesce(c("required_or_preferred").isin(*requirements), F.lit(False)), "unknown value"),
+        ("alternative_group_id", ~blank("alternative_group_id") & ~c("alternative_group_id").rlike(r"^[A-Za-z0-9_.-]{1,40}$"), "malformed"),
+        ("evidence_start", c("_text").isNotNull() & ~F.coalesce(inside, F.lit(False)), "outside the text"),
+        ("evidence_text", inside & ~X.span_holds(c("_text"), c("evidence_start"), c("evidence_end"), c("evidence_text")), "not at its place"),
+        ("evidence_text", inside & (c("evidence_text") != F.trim("evidence_text")), "blanks at its ends"),
+        ("skill_statement", ~blank("skill_statement") & c("evidence_start").isNotNull() & (c("_spans") > 1), "recorded twice for a span"),
+    ]
+    found = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(p).alias("problem"))) for f, test, p in rules]))
+    return counted.select("annotation_id", F.explode(found).alias("p")).select("annotation_id", "p.field", "p.problem")
+
+
+def review_progress(reviews: DataFrame, skills: DataFrame) -> DataFrame:
+    """One row: postings by status, and reviewed ones with and without annotations."""
+    has = skills.groupBy("posting_id").agg(F.count("*").alias("_n"))
+    rows = reviews.join(has, "posting_id", "left")
+    done = F.col("review_status") == "reviewed"
+    return rows.agg(
+        F.count("*").alias("selected"), *[F.count_if(F.col("review_status") == s).alias(s) for s in STATUSES],
+        F.count_if(done & F.col("_n").isNotNull()).alias("reviewed_with_skills"), F.count_if(done & F.col("_n").isNull()).alias("reviewed_zero_skills"),
+    ).withColumn("complete", F.col("reviewed") == F.col("selected"))

@@ -55,3 +55,15 @@ def visible(df: DataFrame, hidden: DataFrame, key: str = "posting_id") -> DataFr
 def overview(df: DataFrame, columns: list[str]) -> DataFrame:
     """The different values that a filter form offers."""
     return facets(df, columns)
+
+
+def lookup(df: DataFrame, **key) -> DataFrame:
+    """The rows of one key; the filters reach the scan."""
+    for column, value in key.items():
+        df = df.where(F.col(column).eqNullSafe(F.lit(value)))
+    return df
+
+
+def newest_first(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
+    ordered = df.orderBy(F.desc(column))
+    return ordered.limit(most) if most else ordered

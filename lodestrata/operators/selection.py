@@ -88,3 +88,39 @@ def select_set(df: DataFrame, key: str, stratum: str, group: str, total: int, de
         dev[k] += 1
     first = draw(chosen, stratum, key, as_table(dev), seed + 1).select(key, F.lit("development").alias("split"))
     return chosen.join(first, key, "left").select(key, group, stratum, F.coalesce("split", F.lit("evaluation")).alias("split"))
+
+
+def diverse_draw(df: DataFrame, stratum: str, variety: str, key: str, seats: int, seed: int) -> DataFrame:
+    """``seats`` rows of each stratum that spread over the values of ``variety``: the first of every value before the second of any, each in the seeded order; ties by key.
+
+    Only the first ``seats`` rows of a value can be among them, so the others are dropped first.
+    """
+    keyed = df.withColumn("_h", seeded(seed, key))
+    turn = F.row_number().over(Window.partitionBy(stratum, variety).orderBy("_h", key))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("_turn", "_h", key))
+    return keyed.withColumn("_turn", turn).where(F.col("_turn") <= seats).withColumn("_n", place).where(F.col("_n") <= seats).drop("_h", "_turn", "_n")
+
+
+def overflow(wanted: dict[str, int], room: dict[str, int]) -> dict[str, int]:
+    """Seats of cells with too little room handed to those with most room left, ties by name."""
+    given = {k: min(n, room.get(k, 0)) for k, n in wanted.items()}
+    left = sum(wanted.values()) - sum(given.values())
+    while left:
+        open_cells = [k for k in room if room[k] > given.get(k, 0)]
+        if not open_cells:
+            raise SelectionError(f"no room for {left}")
+        k = min(open_cells, key=lambda x: (given.get(x, 0) - room[x], x))
+        given[k] = given.get(k, 0) + 1
+        left -= 1
+    return given
+
+
+def selection_problems(chosen: DataFrame, source: DataFrame, key: str, digest: str, group: str, split: str, sizes: dict[str, int]) -> DataFrame:
+    """``(problem, n)``: rows that the source lacks or has with another digest, groups in two splits, repeated keys, splits of another size."""
+    joined = chosen.join(source.select(key, F.col(digest).alias("_now")), key, "left")
+    counts = joined.agg(
+        F.count_if(F.col("_now").isNull()).alias("not in the source"), F.count_if(F.col("_now") != F.col(digest)).alias("text has changed"),
+        (F.count("*") - F.countDistinct(key)).alias("repeated keys"), *[F.abs(F.count_if(F.col(split) == s) - n).alias(f"rows off in {s}") for s, n in sizes.items()],
+    ).crossJoin(leaking_groups(chosen, group, split).agg(F.count("*").alias("groups in two splits")))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("problem"), F.col(f"`{c}`").cast("bigint").alias("n")) for c in counts.columns]))
+    return counts.select(pairs.alias("p")).select("p.*").where("n > 0")

@@ -475,3 +475,68 @@ def rows_without_partner(spark, d):
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
 def latest_per_key(spark, d):
     return prepare.latest(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+# ---- further selection and annotation queries
+@query("WITH h AS (SELECT c_custkey, c_nationkey, c_mktsegment, sha256('5:' || c_custkey) AS h FROM customer), t AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY h, c_custkey) AS turn FROM h), n AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY turn, h, c_custkey) AS k FROM t) SELECT c_nationkey, c_mktsegment, c_custkey FROM n WHERE k <= 12")
+def diverse_draw(spark, d):
+    return selection.diverse_draw(table(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_custkey"), "c_nationkey", "c_mktsegment", "c_custkey", 12, 5)
+
+
+@query("WITH " + _VALID + r""", s AS (SELECT DISTINCT snapshot_id, posting_id, annotation_id, skill_statement, evidence_text, evidence_start, evidence_end, required_or_preferred, alternative_group_id, annotator_id FROM skills),
+j AS (SELECT s.*, v.clean_text AS t, count(*) OVER (PARTITION BY annotation_id) AS uses, count(*) OVER (PARTITION BY s.snapshot_id, s.posting_id, evidence_start, evidence_end, lower(trim(skill_statement))) AS spans,
+  coalesce(evidence_start >= 0 AND evidence_start < evidence_end AND evidence_end <= length(v.clean_text), false) AS ok FROM s LEFT JOIN valid v USING (snapshot_id, posting_id)),
+p AS (SELECT annotation_id, 'skill_statement' AS field, 'empty' AS problem FROM j WHERE coalesce(trim(skill_statement), '') = ''
+UNION ALL SELECT annotation_id, 'annotation_id', 'used more than once' FROM j WHERE uses > 1
+UNION ALL SELECT annotation_id, 'required_or_preferred', 'unknown value' FROM j WHERE NOT coalesce(required_or_preferred IN ('required', 'preferred', 'unclear'), false)
+UNION ALL SELECT annotation_id, 'annotator_id', 'empty' FROM j WHERE coalesce(trim(annotator_id), '') = ''
+UNION ALL SELECT annotation_id, 'evidence_start', 'outside the text' FROM j WHERE t IS NOT NULL AND NOT ok
+UNION ALL SELECT annotation_id, 'evidence_text', 'not at its place' FROM j WHERE ok AND coalesce(substr(t, evidence_start + 1, evidence_end - evidence_start) <> evidence_text, true)
+UNION ALL SELECT annotation_id, 'evidence_text', 'blanks at its ends' FROM j WHERE ok AND evidence_text <> trim(evidence_text)
+UNION ALL SELECT annotation_id, 'skill_statement', 'recorded twice for a span' FROM j WHERE coalesce(trim(skill_statement), '') <> '' AND evidence_start IS NOT NULL AND spans > 1)
+SELECT * FROM p""")
+def annotation_problems(spark, d):
+    columns = ["snapshot_id", "posting_id", "annotation_id", "skill_statement", "evidence_text", "evidence_start", "evidence_end", "required_or_preferred", "alternative_group_id", "annotator_id"]
+    return N.annotation_problems(table(spark, d, "skills").select(*columns).distinct(), _all(spark, d, "clean_text"))
+
+
+@query("SELECT DISTINCT annotation_id, array_to_string(list_filter([CASE WHEN contains(coalesce(review_notes, ''), 'DISCUSS') THEN 'discuss' END, CASE WHEN contains(coalesce(review_notes, ''), 'illustrative list') THEN 'illustrative' END, CASE WHEN starts_with(coalesce(review_notes, ''), 'AI-SUGGESTED') THEN 'suggested_addition' END], lambda x: x IS NOT NULL), ';') AS flags, coalesce(nullif(regexp_extract(esco_v, '\\bv(\\d+(?:\\.\\d+)+)', 1), ''), '') AS version, CASE skill_category WHEN 'language' THEN 'Language' WHEN 'technical' THEN 'Technical' ELSE 'unknown' END AS shown FROM skills, (SELECT max('taxonomy ' || esco_version || ' en') AS esco_v FROM esco_concepts)")
+def note_flags(spark, d):
+    line = F.lit("taxonomy " + table(spark, d, "esco_concepts").agg(F.max("esco_version")).first()[0] + " en")
+    rows = table(spark, d, "skills").select(
+        "annotation_id", F.array_join(X.note_flags(F.col("review_notes")), ";").alias("flags"), F.coalesce(X.version_in(line), F.lit("")).alias("version"),
+        X.relabelled(F.col("skill_category"), {"language": "Language", "technical": "Technical"}).alias("shown"),
+    )
+    return rows.distinct()
+
+
+@query("WITH " + _LATEST + " SELECT posting_id, '<posting id=\"' || posting_id || '\" title=\"' || coalesce(title, '') || '\">' || chr(10) || coalesce(clean_text, '') || chr(10) || '</posting>' AS prompt FROM cur")
+def prompts(spark, d):
+    rows = _cur(spark, d, "title", "clean_text")
+    return rows.select("posting_id", X.envelope("posting", F.col("clean_text"), id=F.col("posting_id"), title=F.col("title")).alias("prompt"))
+
+
+@query("SELECT DISTINCT ON (posting_id) posting_id, title FROM postings WHERE posting_id = (SELECT min(posting_id) FROM postings) AND snapshot_id = (SELECT max(snapshot_id) FROM postings WHERE posting_id = (SELECT min(posting_id) FROM postings))")
+def point_lookup(spark, d):
+    rows = table(spark, d, "postings")
+    key = rows.agg(F.min("posting_id")).first()[0]
+    own = reading.lookup(rows, posting_id=key)
+    return reading.newest_first(own.select("posting_id", "title", "snapshot_id"), "snapshot_id", 1).select("posting_id", "title")
+
+
+@query("WITH r AS (SELECT posting_id, CASE WHEN substr(sha256(posting_id), 1, 1) < 'a' THEN 'reviewed' ELSE 'in_progress' END AS review_status FROM (SELECT DISTINCT posting_id FROM postings)), k AS (SELECT DISTINCT posting_id FROM skills) SELECT CAST(count(*) AS BIGINT) AS selected, CAST(0 AS BIGINT) AS not_started, CAST(count_if(review_status = 'in_progress') AS BIGINT) AS in_progress, CAST(count_if(review_status = 'reviewed') AS BIGINT) AS reviewed, CAST(count_if(review_status = 'reviewed' AND k.posting_id IS NOT NULL) AS BIGINT) AS reviewed_with_skills, CAST(count_if(review_status = 'reviewed' AND k.posting_id IS NULL) AS BIGINT) AS reviewed_zero_skills, false AS complete FROM r LEFT JOIN k USING (posting_id)")
+def review_progress(spark, d):
+    reviews = table(spark, d, "postings").select("posting_id").distinct().withColumn("review_status", F.when(F.substring(F.sha2("posting_id", 256), 1, 1) < "a", "reviewed").otherwise("in_progress"))
+    return N.review_progress(reviews, table(spark, d, "skills"))
+
+
+@query("WITH " + _LATEST + " SELECT posting_id, strftime(timezone('UTC', CAST(fetched_at AS TIMESTAMPTZ)), '%Y-%m-%dT%H:%M:%SZ') AS stamp, strftime(timezone('UTC', CAST(source_updated_at AS TIMESTAMPTZ)), '%Y%m%dT%H%M%SZ') AS updated FROM cur")
+def utc_stamps(spark, d):
+    rows = _cur(spark, d, "fetched_at", "source_updated_at")
+    return rows.select("posting_id", X.utc_stamp(F.to_timestamp("fetched_at")).alias("stamp"), X.snapshot_stamp(F.to_timestamp("source_updated_at")).alias("updated"))
+
+
+@query("WITH " + _LATEST + r""", c AS (SELECT posting_id, substr(clean_text, 1, 20) AS head, trim(regexp_replace(clean_text, '\s+', ' ', 'g')) AS flat FROM cur WHERE clean_text IS NOT NULL) SELECT posting_id, head, CASE WHEN length(flat) <= 60 THEN flat ELSE substr(flat, 1, 59) || '…' END AS short FROM c""")
+def excerpts(spark, d):
+    rows = _cur(spark, d, "clean_text").where("clean_text IS NOT NULL")
+    return rows.select("posting_id", X.around(F.col("clean_text"), F.lit(0), F.lit(0), 20).alias("head"), X.shorten(F.col("clean_text"), 60).alias("short"))
