@@ -89,13 +89,19 @@ def split_uris(text: Column) -> Column:
 
 
 def occurrences(text: Column, needle: Column) -> Column:
-    """Zero-based starts of all occurrences, overlapping ones too; none for an empty needle.
+    """Zero-based starts of all occurrences, overlapping ones too; none for a null or an empty needle.
 
-    It tests each place, for texts of some thousand characters; for long ones use the table function.
+    The first two are searched for; only where there is a second are the places behind it tested
+    one by one.
     """
-    last = F.length(text) - F.length(needle)
-    places = F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(text, i + 1, F.length(needle)) == needle)
-    return F.when(text.isNull() | needle.isNull() | (needle == "") | (last < 0), F.array().cast("array<int>")).otherwise(places)
+    first = F.position(needle, text, F.lit(1))
+    second = F.position(needle, text, first + 1)
+    rest = F.filter(F.sequence(second - 1, F.greatest(F.length(text) - F.length(needle), second - 1)), lambda i: F.substring(text, i + 1, F.length(needle)) == needle)
+    return (
+        F.when(text.isNull() | needle.isNull() | (needle == "") | (first == 0), F.array().cast("array<int>"))
+        .when(second == 0, F.array(first - 1))
+        .otherwise(F.concat(F.array(first - 1), rest))
+    )
 
 
 def resolve_evidence(text: Column, evidence: Column, context: Column) -> Column:
