@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -93,14 +93,15 @@ class Encoder:
     """Encodes texts; keeps the ids of short splits it has met."""
 
     def __init__(self, ranks: dict[bytes, int], library_split=None):
-        self.ranks, self.known, self.split = ranks, {}, regex.compile(PATTERN).findall
+        self.ranks, self.known, self.pattern = ranks, {}, regex.compile(PATTERN)
+        self.split = self.pattern.findall
         self.library_split = library_split
 
-    def splits(self, text: str) -> list[str]:
+    def splits(self, text: str) -> Iterable[str]:
         """The text's splits. Characters newer than this Python's Unicode go by the public tokenizer's own splitter where it is installed, since a newer table would call some of them letters."""
         if self.library_split and not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
             return self.library_split(text)
-        return self.split(text)
+        return self.split(text) if len(text) < 1_000_000 else (m[0] for m in self.pattern.finditer(text))
 
     def encode(self, text: str) -> list[int]:
         known, out = self.known, []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.arrow import code_points, pieces
+from lodestrata.llm.arrow import CHARS_AT_ONCE, code_points, pieces
 
 #: Codes and names by which the seven languages are declared.
 NAMES = {
@@ -109,14 +109,31 @@ class Model:
         return (k[:-2] << 12) | (k[1:-1] << 6) | k[2:], at
 
     def scores(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Log-likelihood (units x languages) of the units that start at ``starts``."""
-        index, at = self.trigrams(points)
-        sums = np.zeros((len(starts), self.table.shape[1]))
-        where = np.searchsorted(at, starts)
+        """Log-likelihood (units x languages) of the units that start at ``starts``; many characters are worked on in parts."""
+        out = np.zeros((len(starts), self.table.shape[1]))
+        ends = np.append(starts[1:], len(points))
+        first = 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + 2 * CHARS_AT_ONCE, side="right")))
+            self._part(points, starts[first:last], int(ends[last - 1]), out[first:last])
+            first = last
+        return out
+
+    def _part(self, points: np.ndarray, starts: np.ndarray, end: int, out: np.ndarray) -> None:
+        before = max(int(starts[0]) - 16, 0)  # the letters that the first trigrams need
+        index, at = self.trigrams(points[before:end])
+        own = at >= starts[0] - before
+        index, at = index[own], at[own]
+        where = np.searchsorted(at, starts - before)
         full = np.flatnonzero(np.append(where[1:], len(at)) > where)
-        if len(full):
-            sums[full] = np.add.reduceat(self.table[index], where[full], axis=0)
-        return sums
+        step = 4 * CHARS_AT_ONCE
+        if len(index) <= step:
+            if len(full):
+                out[full] = np.add.reduceat(self.table[index], where[full], axis=0)
+            return
+        for i, a, b in zip(full, where[full], np.append(where[full][1:], len(index)), strict=True):  # a unit without end
+            for k in range(a, b, step):
+                out[i] += self.table[index[k : min(k + step, b)]].sum(axis=0, dtype=np.float64)
 
 
 def fit(texts: list[str], labels: list[str]) -> Model:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.arrow import code_points, mix, pieces
+from lodestrata.llm.arrow import CHARS_AT_ONCE, code_points, mix, pieces
 from lodestrata.storage import cut, together
 
 #: Words of a seed and of the window that a copy must hold.
@@ -52,15 +52,38 @@ for _i in range(1, 1 << 16):
     _POWERS[_i] = np.uint64((int(_POWERS[_i - 1]) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF)
 
 
+def _segments(text: str) -> list[str]:
+    """The text in parts of about ``CHARS_AT_ONCE`` characters that end between words; a longer word stays whole."""
+    parts, start = [], 0
+    while len(text) - start > CHARS_AT_ONCE:
+        end = start + CHARS_AT_ONCE
+        while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+            end += 1
+        parts.append(text[start:end])
+        start = end
+    return [*parts, text[start:]]
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, and for each text how many are its own."""
+    """64-bit hashes of all words of the texts, and for each text how many are its own. Long texts are worked on in parts."""
     folded = [plain(t) for t in texts]
+    if all(len(t) <= CHARS_AT_ONCE for t in folded):
+        return _hashes(folded)
+    found, counts = [], []
+    for t in folded:
+        own = [_hashes([part])[0] for part in _segments(t)]
+        found += own
+        counts.append(sum(map(len, own)))
+    return np.concatenate(found), np.array(counts, dtype=np.int64)
+
+
+def _hashes(folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = code_points(folded)
     inside = _is_letter()[points]
     starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
     ends = np.cumsum([len(t) + 3 for t in folded])
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(folded), dtype=np.int64)
     at = np.flatnonzero(inside)
     of = np.searchsorted(starts, at, side="right") - 1
     place = np.minimum(at - starts[of], len(_POWERS) - 1)

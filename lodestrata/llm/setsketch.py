@@ -43,7 +43,7 @@ _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B9
 
 def tokens(text: str) -> set[str]:
     """Distinct word tokens of the case-folded text."""
-    return set(_WORD.findall(text.casefold()))
+    return {m[0] for m in _WORD.finditer(text.casefold())}
 
 
 def token_registers(hashes: np.ndarray) -> np.ndarray:
