@@ -197,8 +197,9 @@ def _search(spark, texts: DataFrame, block: list[tuple[int, str]], ids: tuple[st
     rarest = F.row_number().over(Window.partitionBy("k", "n").orderBy(F.coalesce("docs", F.lit(0)), "g"))
     counted = frame.join(spread, "g", "inner" if edited else "left")
     seeds = counted.withColumn("r", rarest).where((F.col("r") == 1) & F.col("docs").isNotNull()).select("k", "g").distinct()
-    # At most as many items a document as there are in the block.
-    pairs = found.join(seeds, "g").groupBy("d").agg(F.collect_set("k").alias("ks"))
+    # At most as many items a document as there are in the block. Written, so that the planner knows
+    # their size: texts are shuffled to them only if they are many.
+    pairs = cut(found.join(seeds, "g").groupBy("d").agg(F.collect_set("k").alias("ks")), "candidates")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
