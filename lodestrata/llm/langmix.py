@@ -245,13 +245,17 @@ def words_in(texts: list[str], model: Model, language: int) -> list[tuple[int, i
     words = _words(points, space, starts)
     first = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 3 for t in texts])[:-1])))
     last = np.append(first[1:], len(starts))
-    for a, b in zip(first, last, strict=True):
+    whole = np.add.reduceat(scores, first, axis=0)
+    bound = np.add.reduceat(scores.max(1), first) - whole.max(1)
+    for i, (a, b) in enumerate(zip(first, last, strict=True)):
         n = int(words[a:b].sum())
-        if not n or not scores[a:b].any():
+        if not n or not whole[i].any():
             out.append((n, 0))
-            continue
-        labels, _ = mixture(scores[a:b], words[a:b])
-        out.append((n, int(words[a:b][labels == language].sum())))
+        elif bound[i] < PENALTY * np.log(max(n, 2)):  # no second language can pay
+            out.append((n, n if whole[i].argmax() == language else 0))
+        else:
+            labels, _ = mixture(scores[a:b], words[a:b])
+            out.append((n, int(words[a:b][labels == language].sum())))
     return out
 
 
