@@ -3,9 +3,10 @@
 Texts become words: runs of letters or digits, without case, accents, ligatures or width. The
 evaluation items' word n-grams are looked for in every document; of each window of an item the
 n-gram that is rarest in the corpus is its seed, so common openings join few documents, and a
-window of which any n-gram is nowhere in the corpus joins none. Documents and items that share a
-seed are aligned by Smith-Waterman on words, which also scores edited and paraphrased copies; the
-longest run of equal words comes with it.
+window of which any n-gram is nowhere in the corpus joins none. For edited copies every n-gram is a
+seed, since a copy may lack those that others hold. Documents and items that share a seed are
+aligned by Smith-Waterman on words, which also scores edited and paraphrased copies; the longest run
+of equal words comes with it.
 """
 
 from __future__ import annotations
@@ -146,8 +147,8 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     ``score`` is the Smith-Waterman score on words, ``share`` its part of the item's perfect score,
     ``longest_run`` the greatest number of consecutive words of the item in the document. Every pair
     with ``longest_run >= window`` is there; others are there as far as they share a seed. With ``edited``
-    the rarest n-gram that is in the corpus at all is a window's seed, even if another of the window
-    is in no document: that finds copies of which every window was edited, and takes longer.
+    every n-gram of an item is a seed, so each pair with ``longest_run >= seed`` is there, whatever other
+    documents hold: that finds copies of which every window was edited, and takes longer.
 
     Rows with a null id or text give none, nor do items shorter than ``seed`` words; a document id
     or item id that stands in several rows gives the distinct rows of all of them. Documents
@@ -165,6 +166,21 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     return together(parts).withColumnsRenamed({"d": doc, "i": item})
 
 
+def _rarest(spark, found: DataFrame, wanted: np.ndarray, number: np.ndarray, per: int) -> DataFrame:
+    """The seeds ``(k, g)`` of windows of ``per`` n-grams: the n-gram of fewest documents, unless one of them is in no document."""
+    slots = {}
+    for k in np.unique(number).tolist():
+        own = wanted[number == k]
+        for start in range(max(len(own) - per + 1, 1)):
+            slots.setdefault(k, []).append([int(x) for x in own[start : start + per].view(np.int64)])
+    wins = [(k, n, g) for k, all_ in slots.items() for n, gs in enumerate(all_) for g in gs]
+    frame = spark.createDataFrame(pa.table({"k": pa.array([w[0] for w in wins], pa.int32()), "n": pa.array([w[1] for w in wins], pa.int32()), "g": pa.array([w[2] for w in wins], pa.int64())}))
+    spread = found.groupBy("g").agg(F.count("*").alias("docs"))
+    rarest = F.row_number().over(Window.partitionBy("k", "n").orderBy(F.coalesce("docs", F.lit(0)), "g"))
+    counted = frame.join(spread, "g", "left").withColumn("r", rarest)
+    return counted.where((F.col("r") == 1) & F.col("docs").isNotNull()).select("k", "g").distinct()
+
+
 def _search(spark, texts: DataFrame, block: list[tuple[int, str]], ids: tuple[str, str], window: int, seed: int, edited: bool) -> DataFrame:
     hashes, counts = word_hashes([t for _, t in block])
     wanted, place = grams(hashes, counts, seed)
@@ -184,19 +200,11 @@ def _search(spark, texts: DataFrame, block: list[tuple[int, str]], ids: tuple[st
                 yield pa.RecordBatch.from_arrays([part.column("d").take(pa.array(both[0].astype(np.int64))), pa.array(both[1].view(np.int64))], names=["d", "g"])
 
     found = cut(texts.mapInArrow(hits, f"d {ids[0]}, g bigint"), "hits")
-    # The seeds of a window: its n-gram of fewest documents, unless one of them is in no document.
-    per = window - seed + 1
-    slots = {}
-    for k in range(len(block)):
-        own = wanted[number == k] if len(wanted) else wanted
-        for start in range(max(len(own) - per + 1, 1) if len(own) else 0):
-            slots.setdefault(k, []).append([int(x) for x in own[start : start + per].view(np.int64)])
-    wins = [(k, n, g) for k, all_ in slots.items() for n, gs in enumerate(all_) for g in gs]
-    frame = spark.createDataFrame(pa.table({"k": pa.array([w[0] for w in wins], pa.int32()), "n": pa.array([w[1] for w in wins], pa.int32()), "g": pa.array([w[2] for w in wins], pa.int64())}))
-    spread = found.groupBy("g").agg(F.count("*").alias("docs"))
-    rarest = F.row_number().over(Window.partitionBy("k", "n").orderBy(F.coalesce("docs", F.lit(0)), "g"))
-    counted = frame.join(spread, "g", "inner" if edited else "left")
-    seeds = counted.withColumn("r", rarest).where((F.col("r") == 1) & F.col("docs").isNotNull()).select("k", "g").distinct()
+    if edited:
+        pairs_of = np.unique(np.stack([number.astype(np.int64), wanted.view(np.int64)]), axis=1)
+        seeds = spark.createDataFrame(pa.table({"k": pa.array(pairs_of[0].astype(np.int32)), "g": pa.array(pairs_of[1])}))
+    else:
+        seeds = _rarest(spark, found, wanted, number, window - seed + 1)
     # At most as many items a document as there are in the block. Written, so that the planner knows
     # their size: texts are shuffled to them only if they are many.
     pairs = cut(found.join(seeds, "g").groupBy("d").agg(F.collect_set("k").alias("ks")), "candidates")

@@ -67,6 +67,19 @@ def test_edited_copies_are_aligned(spark):
     assert r["share"] > 0.8 and r["longest_run"] < 12 and r["end_word"] == 42
 
 
+def test_edited_copies_are_aligned_beside_exact_ones(spark):
+    w = words(phrase(40))
+    copy = list(w)
+    for i in (9, 18, 27, 36):
+        copy[i] = "changed"
+    texts = [(1, " ".join(copy))] + [(d, " ".join(w)) for d in (2, 3, 4)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    it = spark.createDataFrame([(5, " ".join(w))], "item_id bigint, item_text string")
+    rows = {r["doc_id"]: r for r in L.leaks(df, "doc_id", "text", it, "item_id", "item_text", edited=True).collect()}
+    assert set(rows) == {1, 2, 3, 4}
+    assert 0.8 < rows[1]["share"] < 1 and rows[1]["longest_run"] < 12 and rows[2]["share"] == 1
+
+
 def test_alignment_equals_plain_dynamic_programme():
     for _ in range(60):
         a, b = (np.array([rng.randrange(4) for _ in range(rng.randrange(1, 12))], dtype=np.uint64) for _ in range(2))
