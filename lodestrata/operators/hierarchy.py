@@ -159,3 +159,24 @@ def descendants(tree: DataFrame) -> DataFrame:
         .groupBy("ancestor", "descendant")
         .agg(F.min(F.col("depth") - F.col("at")).cast("int").alias("distance"))
     )
+
+
+def reachable(df: DataFrame, child: str = "concepturi", parent: str = "broaderuri") -> DataFrame:
+    """``(ancestor, descendant, distance)`` over all links, those on and beside cycles too; distance is the least number of links.
+
+    A node on a cycle is its own descendant. Ids are read as in ``hierarchy``. Pairs are formed by
+    doubling: after round k those at up to 2^k links are known, and those at exactly 2^k extend
+    them, so a chain of n links takes log2 n rounds. It ends when a round brings no new pair.
+    """
+    _, links = read_links(df, child, parent)
+    known, n = cut_counted(links.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("distance")), "pairs")
+    reach = 1
+    while n:
+        before = known.where(F.col("distance") == reach).select("ancestor", F.col("descendant").alias("mid"), F.col("distance").alias("steps"))
+        after = known.select(F.col("ancestor").alias("mid"), "descendant", "distance")
+        longer = before.join(after, "mid").select("ancestor", "descendant", (F.col("steps") + F.col("distance")).alias("distance"))
+        known, now = cut_counted(known.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("distance").alias("distance")), "pairs")
+        if now == n:
+            break
+        reach, n = 2 * reach, now
+    return known

@@ -23,6 +23,11 @@ def p2_descendants(spark, folder):
     return tree.descendants(tree.hierarchy(table(spark, folder, LINKS)))
 
 
+def p2_reachable(spark, folder):
+    """All descendants of every concept, over links on cycles too; ``p2_descendants`` has those along paths from a root."""
+    return tree.reachable(table(spark, folder, LINKS))
+
+
 def p2_roots(spark, folder):
     rows = tree.hierarchy(table(spark, folder, LINKS)).where(F.col("state") == "path")
     return rows.groupBy(F.col("node").alias("concepturi")).agg(
@@ -68,6 +73,12 @@ steps(ancestor, descendant, distance, node) AS (
   SELECT w.node, s.c, 1, s.c FROM (SELECT DISTINCT node FROM walk) w JOIN sound s ON s.p = w.node
   UNION SELECT t.ancestor, s.c, t.distance + 1, s.c FROM steps t JOIN sound s ON s.p = t.node)
 SELECT ancestor, descendant, CAST(min(distance) AS INTEGER) AS distance FROM steps GROUP BY ALL""",
+    "p2_reachable": _GRAPH + """,
+span(ancestor, descendant, distance) USING KEY (ancestor, descendant) AS (
+  SELECT p, c, CAST(1 AS INTEGER) FROM links
+  UNION SELECT s.ancestor, l.c, CAST(s.distance + 1 AS INTEGER) FROM span s JOIN links l ON l.p = s.descendant
+    LEFT JOIN recurring.span k ON k.ancestor = s.ancestor AND k.descendant = l.c WHERE k.ancestor IS NULL)
+SELECT ancestor, descendant, distance FROM span""",
     "p5_found": """
 WITH valid AS (SELECT snapshot_id AS s, posting_id AS k, arg_max(coalesce(text_hash, ''), fetched_at) AS d
                FROM postings WHERE snapshot_id IS NOT NULL AND posting_id IS NOT NULL GROUP BY ALL),
@@ -80,4 +91,4 @@ UNION ALL SELECT p.b, y.k, 'added' FROM pairs p JOIN valid y ON y.s = p.b
 UNION ALL SELECT p.b, y.k, 'changed' FROM pairs p JOIN valid x ON x.s = p.a JOIN valid y ON y.s = p.b AND y.k = x.k
   WHERE x.d <> y.d""",
 }
-QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_roots, p5_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_reachable, p2_roots, p5_found)}

@@ -3,7 +3,7 @@ from collections import defaultdict
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from lodestrata.operators.hierarchy import descendants, hierarchy
+from lodestrata.operators.hierarchy import descendants, hierarchy, reachable
 
 SCHEMA = "concepturi string, broaderuri string, path string, node string, depth int"
 
@@ -71,3 +71,32 @@ def test_descendants_take_least_distance(spark):
     df = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "c")], "concepturi string, broaderuri string")
     rows = {tuple(r) for r in descendants(hierarchy(df)).collect()}
     assert rows == {("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("b", "c", 1), ("b", "d", 2), ("c", "d", 1)}
+
+
+def brute_distances(links):
+    children = defaultdict(set)
+    for a, b in {(a.strip(), b.strip()) for a, b in links}:
+        children[b].add(a)
+    out = set()
+    for start in list(children):
+        seen, level, n = {}, children[start], 1
+        while level:
+            seen |= dict.fromkeys(level, n)
+            level, n = {c for x in level for c in children.get(x, ())} - seen.keys(), n + 1
+        out |= {(start, d, n) for d, n in seen.items()}
+    return out
+
+
+def test_reachable_passes_cycles(spark):
+    links = [("x", "top"), ("x", "y"), ("y", "x"), ("z", " y"), ("s", "s"), ("t", "s"), ("t", "top")]
+    links += [(f"n{i + 1}", f"n{i}") for i in range(11)] + [("n3", "n9"), ("n0", "z"), ("n7", "top")]
+    rows = [tuple(r) for r in reachable(spark.createDataFrame(links, "concepturi string, broaderuri string")).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute_distances(links)
+    assert {("top", "y", 2), ("top", "z", 3), ("x", "x", 2), ("y", "z", 1), ("s", "t", 1), ("s", "s", 1)} <= set(rows)
+    assert reachable(spark.createDataFrame([("a", None)], "concepturi string, broaderuri string")).count() == 0
+
+
+def test_every_descendant_has_a_query():
+    from lodestrata.plans import registry
+
+    assert "p2_reachable" in registry.QUERIES and "p2_reachable" in registry.ORACLE
