@@ -14,11 +14,16 @@ def _table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _current(spark, folder, columns):
-    """Valid rows of the latest snapshot with at least 40 words."""
+def _latest(spark, folder, columns):
+    """Valid rows of the latest snapshot, however short."""
     postings = _table(spark, folder, "postings")
     rows = postings.where(F.col("snapshot_id") == F.lit(latest_snapshot(postings)))
-    return valid_rows(rows, ["posting_id"], "fetched_at", ["word_count", *columns]).where(F.col("word_count") >= LEAST_WORDS)
+    return valid_rows(rows, ["posting_id"], "fetched_at", columns)
+
+
+def _current(spark, folder, columns):
+    """Valid rows of the latest snapshot with at least 40 words."""
+    return _latest(spark, folder, ["word_count", *columns]).where(F.col("word_count") >= LEAST_WORDS)
 
 
 def _postings_model(spark, folder):
@@ -27,9 +32,11 @@ def _postings_model(spark, folder):
 
 
 def p1_languages(spark, folder):
-    """Every current posting's and segment's language, with its confidence."""
-    rows = _current(spark, folder, ["clean_text"])
-    return langmix.assign_languages(rows, _postings_model(spark, folder), "posting_id", "clean_text")
+    """The language of every valid posting of all snapshots and of its segments, with its confidence; a text without words has none."""
+    rows = valid_rows(_table(spark, folder, "postings"), ["snapshot_id", "posting_id"], "fetched_at", ["clean_text"])
+    keyed = rows.select(F.to_json(F.struct("snapshot_id", "posting_id")).alias("key"), "clean_text")
+    found = langmix.assign_languages(keyed, _postings_model(spark, folder), "key", "clean_text")
+    return found.withColumn("key", F.from_json("key", "snapshot_id string, posting_id string")).select("key.*", "seg", "lang", "confidence", "words")
 
 
 def p1_found(spark, folder):
@@ -44,17 +51,17 @@ def p1_found(spark, folder):
     ).select("key.posting_id", "seg", "lang").distinct()
 
 
-def _near(spark, folder):
-    return setsketch.near_duplicates(_current(spark, folder, ["clean_text"]), "posting_id", "clean_text")
+def _near(rows):
+    return setsketch.near_duplicates(rows, "posting_id", "clean_text")
 
 
 def p3_found(spark, folder):
-    return setsketch.all_pairs(*_near(spark, folder), "posting_id")
+    return setsketch.all_pairs(*_near(_current(spark, folder, ["clean_text"])), "posting_id")
 
 
 def p3_classes(spark, folder):
-    """Every current posting with its class, the copies in it and the classes linked to it."""
-    return setsketch.link_counts(*_near(spark, folder), "posting_id")
+    """Every posting of the latest snapshot, however short, with its class, the copies in it and the classes linked to it."""
+    return setsketch.link_counts(*_near(_latest(spark, folder, ["clean_text"])), "posting_id")
 
 
 def p4_found(spark, folder):
