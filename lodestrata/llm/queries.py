@@ -59,6 +59,12 @@ def p3_found(spark, folder):
     return setsketch.all_pairs(*_near(_current(spark, folder, ["clean_text"])), "posting_id")
 
 
+def p3_pairs(spark, folder):
+    """The pairs of ``p3_found``, across boards and titles, with their text_similarity and token_jaccard."""
+    rows = _current(spark, folder, ["clean_text"])
+    return setsketch.scored_pairs(setsketch.all_pairs(*_near(rows), "posting_id"), rows, "posting_id", "clean_text")
+
+
 def p3_classes(spark, folder):
     """Every posting of the latest snapshot, however short, with its class, the copies in it and the classes linked to it."""
     return setsketch.link_counts(*_near(_latest(spark, folder, ["clean_text"])), "posting_id")
@@ -127,7 +133,7 @@ def p9_levels(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_languages, p3_found, p3_classes, p4_found, p4_coverage, p6_found, p7_ids, p8_found, p8_alignments, p9_found, p9_levels)
+    for f in (p1_found, p1_languages, p3_found, p3_pairs, p3_classes, p4_found, p4_coverage, p6_found, p7_ids, p8_found, p8_alignments, p9_found, p9_levels)
 }
 
 #: The exact definition of near-duplicate pairs: shared distinct word tokens of the case-folded text.

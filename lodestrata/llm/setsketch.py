@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.udfs import seq_ratio
 from lodestrata.llm.arrow import lists, mix, pieces
 from lodestrata.storage import cut, discard
 
@@ -260,6 +261,31 @@ def all_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     )
 
 
+def scored_pairs(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """``pairs (key_a, key_b)`` with ``text_similarity`` (Ratcliff-Obershelp, as in the review list) and ``token_jaccard``.
+
+    Both are rounded to 4 places and computed once for each two different texts, however many pairs
+    of rows hold them; equal texts are alike by definition. df: the rows, one for each key.
+    """
+    rows = df.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.sha2("t", 256))
+    digests = cut(rows.select("k", "h"), "digests")
+    texts = rows.groupBy("h").agg(F.min("t").alias("t"))
+    held = pairs.select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b"))
+    for side in "ab":
+        held = held.join(digests.select(F.col("k").alias(side), F.col("h").alias(f"h_{side}")), side)
+    held = cut(held, "held")
+    unlike = held.where("h_a <> h_b").select("h_a", "h_b").distinct()
+    for side in "ab":
+        unlike = unlike.join(texts.select(F.col("h").alias(f"h_{side}"), F.col("t").alias(f"t_{side}")), f"h_{side}")
+    exact = F.pandas_udf(_verify, "double")
+    scores = unlike.select("h_a", "h_b", F.round(seq_ratio("t_a", "t_b"), 4).alias("s"), F.round(exact("t_a", "t_b"), 4).alias("j"))
+    return held.join(scores, ["h_a", "h_b"], "left").select(
+        F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"),
+        F.when(F.col("h_a") == F.col("h_b"), 1.0).otherwise(F.col("s")).alias("text_similarity"),
+        F.when(F.col("h_a") == F.col("h_b"), 1.0).otherwise(F.col("j")).alias("token_jaccard"),
+    )
+
+
 def link_counts(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """``(key, class, copies, linked_classes)``: each row with its class, the class's other rows and its links."""
     sizes = members.groupBy("class").agg((F.count("*") - 1).alias("copies"))

@@ -1,3 +1,5 @@
+import difflib
+
 from lodestrata.llm import queries
 from tests.llm.test_languages import TEXTS
 
@@ -31,3 +33,14 @@ def test_classes_hold_short_postings(spark, tmp_path):
     assert len(rows) == 3 * len(TEXTS) + 3 and "gone" not in rows
     assert rows["short"]["class"] == rows["short2"]["class"] == rows["fr0"]["class"] and rows["short"]["copies"] == 4
     assert rows["empty"]["copies"] == 0 and rows["empty"]["linked_classes"] == 0
+
+
+def test_pairs_have_both_similarities(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(50))
+    texts = {"a": text, "b": text, "c": " ".join(reversed(text.split())), "d": text.replace("word9 ", "other "), "e": "nothing " * 50}
+    rows = [("s1", k, "2026-01-01", f"board {k}", f"title {k}", t, 50) for k, t in texts.items()]
+    spark.createDataFrame(rows, "snapshot_id string, posting_id string, fetched_at string, board_token string, title string, clean_text string, word_count bigint").write.parquet(f"{tmp_path}/postings.parquet")
+    found = {(r["posting_id_a"], r["posting_id_b"]): (r["text_similarity"], r["token_jaccard"]) for r in queries.p3_pairs(spark, str(tmp_path)).collect()}
+    ratio = lambda a, b: round(difflib.SequenceMatcher(None, texts[a], texts[b], autojunk=False).ratio(), 4)
+    near = round(49 / 51, 4)
+    assert found == {("a", "b"): (1.0, 1.0), ("a", "c"): (ratio("a", "c"), 1.0), ("b", "c"): (ratio("b", "c"), 1.0), **{p: (ratio(*p), near) for p in (("a", "d"), ("b", "d"), ("c", "d"))}}
