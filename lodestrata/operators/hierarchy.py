@@ -1,20 +1,21 @@
 """Parent-child links of unknown depth: paths, depths, roots, descendants and cycles.
 
-Paths are grown level by level: the frontier of one level is joined with the links to give the
-next. Cycles are found before, so that no path can run round one: links that lie on no cycle are
-peeled off at both ends, and among the rest ancestor pairs are formed until a node meets itself.
+Paths grow by frontier joins from the roots, in strides of links that double. Cycles are found
+before, so that no path can run round one: they are what frontiers from the roots and from the
+leaves leave unreached. Nodes that no path reaches then lie below cycles only.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestrata.storage import cut, cut_counted, together
 
-#: Peeling goes on while a round removes at least this share of the links.
-PEEL_SHARE = 0.1
+#: Taking away and folding go on alone while a round removes at least this share of the links.
+FOLD_SHARE = 0.3
 
 
 def clean_id(column: str):
@@ -33,89 +34,154 @@ def read_links(df: DataFrame, child: str, parent: str) -> tuple[DataFrame, DataF
 def cycle_nodes(links: DataFrame) -> DataFrame:
     """Distinct ``(node)`` on a cycle of ``(child, parent)`` links; a link to itself is one.
 
-    Peeling removes in each round the links whose child is nobody's parent or whose parent has no
-    parent, until a round removes few. Ancestor pairs among the rest are then formed by doubling:
-    after round k all pairs at up to 2^k - 1 links are known, and those at exactly 2^k extend
-    them. It ends when a round brings no new pair. A pair of a node with itself is a cycle.
-    Pairs take as many rows as the descendants of the remaining nodes.
+    Frontiers from the roots and from the leaves take away what they reach, and what no frontier
+    reaches lies on cycles or between them. So that long chains don't cost a round for each of
+    their links, unbranched runs are folded into their heads between rounds: all nodes of a run lie
+    on the same cycles. A run that closes on itself, or folds into a link to itself, is a cycle.
+    Where taking away and folding remove little, the least labels spread both ways (see
+    ``_separate``). No pairs of ancestors are formed: every round holds at most the links.
     """
-    own = links.where(F.col("child") == F.col("parent")).select(F.col("child").alias("node"))
-    rest, count = cut_counted(links.where(F.col("child") != F.col("parent")), "links")
-    while count:
-        children = rest.select(F.col("child").alias("parent")).distinct()
-        parents = rest.select(F.col("parent").alias("child")).distinct()
-        smaller, left = cut_counted(
-            rest.join(children, "parent", "left_semi").join(parents, "child", "left_semi").select("child", "parent"), "peeled"
-        )
-        done = left == 0 or left > count * (1 - PEEL_SHARE)
-        rest, count = smaller, left
-        if done:
+    links = links if hasattr(links, "_cut_path") else cut(links, "links")
+    found = [links.where(F.col("child") == F.col("parent")).select(F.col("child").alias("node"))]
+    folded = None  # (node, head) of all nodes folded so far
+    rest, count = links.where(F.col("child") != F.col("parent")), None
+    while count != 0:
+        before = count
+        rest, count = cut_counted(_take_away(_take_away(rest)), "inner")
+        if not count:
             break
-    if not count:
-        return own.distinct()
-    steps = rest.select(F.col("child").alias("low"), F.col("parent").alias("high"))
-    known, n = steps, count
-    while True:
-        # steps: pairs at exactly 2^k links; known: at 1 to 2^k links
-        after = known.select(F.col("low").alias("mid"), "high")
-        before = steps.select("low", F.col("high").alias("mid"))
-        grown, now = cut_counted(known.unionByName(before.join(after, "mid").select("low", "high")).distinct(), "pairs")
-        if now == n:
-            break
-        twice = steps.select(F.col("low").alias("mid"), "high")
-        steps = cut(before.join(twice, "mid").select("low", "high").distinct(), "steps")
-        known, n = grown, now
-    return grown.where(F.col("low") == F.col("high")).select(F.col("low").alias("node")).unionByName(own).distinct()
-
-
-def fold_runs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Folds unbranched runs of cycle-free links: ``runs (node, head, below)`` and ``hops (node, child, below)``.
-
-    A node with one parent that has no other child belongs to the run of that parent: its paths are
-    those of the run's head with ``below``, the nodes from there down to it. Runs are found by
-    doubling, so one of n links takes log2 n rounds. ``hops`` are the links to all other nodes,
-    seen from the head of the run they start from.
+        runs, rings = _runs(rest)
+        if folded is not None:
+            moved = folded.join(runs.select(F.col("node").alias("head"), F.col("head").alias("far")), "head", "left")
+            runs_so_far = moved.select("node", F.coalesce("far", "head").alias("head")).unionByName(runs)
+            folded = cut(runs_so_far, "folded")
+        else:
+            folded = runs
+        # A link ends a run at its parent's side where its child isn't inside one; its parent is then seen as the run's head.
+        outer = rest.join(runs.select(F.col("node").alias("child")).unionByName(rings.select(F.col("node").alias("child"))), "child", "left_anti")
+        seen = outer.join(runs.select(F.col("node").alias("parent"), "head"), "parent", "left").select("child", F.coalesce("head", "parent").alias("parent")).distinct()
+        left = Observation()
+        closed = cut(seen.observe(left, F.count_if(F.col("child") != F.col("parent")).alias("n")), "closed")
+        marks = closed.where(F.col("child") == F.col("parent")).select(F.col("child").alias("node")).unionByName(rings.select("node"))
+        rest, count = closed.where(F.col("child") != F.col("parent")), left.get["n"]
+        if before and count > before * (1 - FOLD_SHARE):
+            cyclic, rest, count = _separate(rest)
+            marks = marks.unionByName(cyclic)
+        found.append(_with_folded(marks, folded))
+    return cut(_all(found).distinct(), "cyclic")
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+def _take_away(links: DataFrame) -> DataFrame:
+    """The links whose child has children and whose parent has parents."""
+    children = links.select(F.col("child").alias("parent")).distinct()
+    parents = links.select(F.col("parent").alias("child")).distinct()
+    return links.join(children, "parent", "left_semi").join(parents, "child", "left_semi").select("child", "parent")
+
+
+def _with_folded(marks: DataFrame, folded: DataFrame) -> DataFrame:
+    """``marks`` and the nodes folded into them."""
+    members = folded.join(marks.select(F.col("node").alias("head")).distinct(), "head", "left_semi").select("node")
+    return marks.unionByName(members)
+
+
+def _runs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes inside unbranched runs: ``(node, head)``, and ``(node)`` of runs that close on themselves and have no head.
+
+    A node with one parent that has no other child belongs to the run of that parent. Heads are
+    found by doubling. While a run with a head is longer than the steps, some of its nodes come to that
+    head in each round; so once as many move as in the round before, they go round.
     """
     single_child = links.groupBy("parent").agg(F.count("*").alias("n")).where("n = 1").select("parent")
     single_parent = links.groupBy("child").agg(F.count("*").alias("n")).where("n = 1").select("child")
     inside = links.join(single_child, "parent", "left_semi").join(single_parent, "child", "left_semi")
-    runs, count = cut_counted(inside.select(F.col("child").alias("node"), F.col("parent").alias("head"), F.array("child").alias("below"), F.lit(True).alias("moved")), "runs")
-    while count:
-        above = runs.select(F.col("node").alias("head"), F.col("head").alias("far"), F.col("below").alias("between"))
-        doubled = runs.join(above, "head", "left").select(
-            "node", F.coalesce("far", "head").alias("head"), F.when(F.col("far").isNotNull(), F.concat("between", "below")).otherwise(F.col("below")).alias("below"), F.col("far").isNotNull().alias("moved")
+    runs, total = cut_counted(inside.select(F.col("child").alias("node"), F.col("parent").alias("head"), F.lit(True).alias("moved")), "runs")
+    moved, moving = total + 1, total
+    while 0 < moving < moved:
+        above = runs.select(F.col("node").alias("head"), F.col("head").alias("far"))
+        seen = Observation()
+        doubled = runs.join(above, "head", "left").select("node", F.coalesce("far", "head").alias("head"), F.col("far").isNotNull().alias("moved"))
+        after = cut(doubled.observe(seen, F.count_if("moved").alias("n")), "runs")
+        moved, moving, runs = moving, seen.get["n"], after
+    return runs.where("NOT moved" if moving else "true").select("node", "head"), runs.where("moved" if moving else "false").select("node")
+
+
+def _separate(links: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``(node)`` of cycles that show, and the links that may still lie on others, with their number.
+
+    Every node takes the greatest label of its ancestors and that of its descendants, itself
+    included; nodes of one cycle agree in both. Where both are one label, that node is above and
+    below all that bear it, so links between those are on cycles. Links between nodes that differ are
+    on none. Labels are ordered by a hash; each round passes them on over a link and from a label's
+    own node, so long ways are shortened.
+    """
+    label = lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.col(c))
+    ends = cut(links.select(label("child").alias("child"), label("parent").alias("parent")), "labelled")
+    labels = cut(ends.select(F.explode(F.array("child", "parent")).alias("own")).distinct().select("own", F.col("own").alias("above"), F.col("own").alias("below")), "labels")
+    while True:
+        up = ends.join(labels.select(F.col("own").alias("parent"), F.col("above").alias("x")), "parent").groupBy(F.col("child").alias("own")).agg(F.max("x").alias("up"))
+        down = ends.join(labels.select(F.col("own").alias("child"), F.col("below").alias("x")), "child").groupBy(F.col("parent").alias("own")).agg(F.max("x").alias("down"))
+        far_up = labels.select(F.col("own").alias("above"), F.col("above").alias("far_up"))
+        far_down = labels.select(F.col("own").alias("below"), F.col("below").alias("far_down"))
+        seen = Observation()
+        grown = labels.join(far_up, "above").join(far_down, "below").join(up, "own", "left").join(down, "own", "left").select(
+            "own", F.greatest("above", "far_up", "up").alias("above"), F.greatest("below", "far_down", "down").alias("below"),
+            ((F.greatest("above", "far_up", "up") > F.col("above")) | (F.greatest("below", "far_down", "down") > F.col("below"))).alias("changed"),
         )
-        runs, _ = cut_counted(doubled, "runs")
-        count = runs.where("moved").count()
-    outside = links.join(runs.select(F.col("node").alias("child")), "child", "left_anti")
-    hops = outside.join(runs.select(F.col("node").alias("parent"), "head", "below"), "parent", "left").select(
-        F.coalesce("head", "parent").alias("node"), "child", F.concat(F.coalesce("below", F.array().cast("array<string>")), F.array("child")).alias("below")
-    )
-    return runs.select("node", "head", "below"), cut(hops, "hops")
+        labels = cut(grown.observe(seen, F.count_if("changed").alias("n")).drop("changed"), "labels")
+        if not seen.get["n"]:
+            break
+    of = lambda side: labels.select(F.col("own").alias(side), F.col("above").alias(f"{side}_above"), F.col("below").alias(f"{side}_below"))
+    alike = ends.join(of("child"), "child").join(of("parent"), "parent").where("child_above = parent_above AND child_below = parent_below")
+    bare = lambda c: F.substring(c, 17, 1 << 30)
+    tried = cut(alike.select(bare("child").alias("child"), bare("parent").alias("parent"), (F.col("child_above") == F.col("child_below")).alias("shown")), "alike")
+    rest, count = cut_counted(tried.where("NOT shown").select("child", "parent"), "unsure")
+    return tried.where("shown").select(F.explode(F.array("child", "parent")).alias("node")).distinct(), rest, count
 
 
 def grow_paths(roots: DataFrame, links: DataFrame) -> DataFrame:
     """All paths ``(node, root, depth, path)`` from ``roots`` down cycle-free ``(child, parent)`` links.
 
-    ``path`` is the array of nodes from root to node; a root has depth 0. Unbranched runs are folded
-    first, so that a few long chains don't cost a join for each of their links. Then one join a
-    level, whose rows are written, so that plans stay flat and a lost executor repeats one level at
-    most. A small frontier goes to the links as a broadcast, since the size of what was written is
-    known to the planner; a large one meets them by a shuffle. The links are held by the executors.
+    ``path`` is the array of nodes from root to node; a root has depth 0. Each round joins the paths
+    that are known with stretches of links below them, and stretches double: after round k all
+    paths of fewer than 2^k links are known, so a chain of n links takes log2 n rounds. Below
+    reached nodes there are no more stretches than paths that end in them; stretches that no root
+    reaches could be more, so where the next ones would outnumber the links and the paths so far,
+    doubling ends and the frontier goes on by the stretches there are. What is written is at most
+    the result and as many stretches.
     """
-    runs, hops = fold_runs(links)
-    hops = hops.persist(StorageLevel.MEMORY_AND_DISK)
-    frontier, count = cut_counted(roots.select("node", F.col("node").alias("root"), F.array("node").alias("path")), "level")
-    levels = [frontier]
-    while count:
-        frontier, count = cut_counted(
-            frontier.join(hops, "node").select(F.col("child").alias("node"), "root", F.concat("path", "below").alias("path")), "level"
-        )
-        levels.append(frontier)
-    hops.unpersist()
-    heads = together(levels)
-    inside = heads.withColumnRenamed("node", "head").join(runs, "head").select("node", "root", F.concat("path", "below").alias("path"))
-    return heads.unionByName(inside).select("node", "root", (F.size("path") - 1).alias("depth"), "path")
+    known, rows = cut_counted(roots.select("node", F.col("node").alias("root"), F.array("node").alias("path")), "paths")
+    stretches, bound = cut_counted(links.select(F.col("child").alias("node"), F.col("parent").alias("top"), F.array("child").alias("below")), "stretches")
+    paths, doubling = [known], True
+    with ThreadPoolExecutor(2) as pool:
+        while bound:
+            base = together(paths) if doubling else paths[-1]
+            extend = stretches.join(base.withColumnRenamed("node", "top"), "top").select("node", "root", F.concat("path", "below").alias("path"))
+            longer = pool.submit(_twice, stretches, max(bound, rows)) if doubling else None
+            grown, count = cut_counted(extend, "paths")
+            after = longer.result() if longer else None
+            if not count:
+                break
+            paths.append(grown)
+            rows += count
+            doubling = after is not None
+            stretches = after or stretches
+    return together(paths).select("node", "root", (F.size("path") - 1).alias("depth"), "path")
+
+
+def _twice(stretches: DataFrame, most: int) -> DataFrame | None:
+    """Stretches twice as long, or None if there would be more than ``most``."""
+    ends = stretches.groupBy("node").agg(F.count("*").alias("n")).join(stretches.groupBy(F.col("top").alias("node")).agg(F.count("*").alias("m")), "node")
+    if (ends.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0) > most:
+        return None
+    upper = stretches.select(F.col("node").alias("top"), F.col("top").alias("far"), F.col("below").alias("between"))
+    return cut(stretches.join(upper, "top").select("node", F.col("far").alias("top"), F.concat("between", "below").alias("below")), "stretches")
 
 
 def hierarchy(df: DataFrame, child: str = "concepturi", parent: str = "broaderuri") -> DataFrame:
@@ -131,7 +197,7 @@ def hierarchy(df: DataFrame, child: str = "concepturi", parent: str = "broaderur
     """
     nodes, links = read_links(df, child, parent)
     nodes, links = cut(nodes, "nodes"), cut(links, "links")
-    cyclic = cut(cycle_nodes(links), "cyclic")
+    cyclic = cycle_nodes(links)
     roots = nodes.join(links.select(F.col("child").alias("node")), "node", "left_anti")
     sound = links.join(cyclic.select(F.col("node").alias("child")), "child", "left_anti").join(
         cyclic.select(F.col("node").alias("parent")), "parent", "left_anti"

@@ -100,3 +100,29 @@ def test_every_descendant_has_a_query():
     from lodestrata.plans import registry
 
     assert "p2_reachable" in registry.QUERIES and "p2_reachable" in registry.ORACLE
+
+
+def test_cycles_of_every_make(spark):
+    ladder = [(f"l{i + 1:02}{s}", f"l{i:02}{t}") for i in range(12) for s in "ab" for t in "ab"]
+    tangles = [
+        ladder + [("l00a", "l12b")],  # one large component without unbranched runs
+        [("a", "b"), ("b", "a"), ("c", "a"), ("d", "c"), ("d", "e"), ("e", "f"), ("f", "e"), ("e", "d"), ("g", "b"), ("g", "h")],  # cycles with a way between
+        [(f"x{i}", f"x{(i + 1) % 6}") for i in range(6)] + [(f"y{i}", f"y{(i + 1) % 5}") for i in range(5)] + [("y0", "x3"), ("z", "y2"), ("z", "r"), ("zz", "z")],
+        [("a", "b"), ("b", "c"), ("c", "a"), ("c", "c"), ("d", "c"), ("e", "d"), ("d", "e")],
+    ]
+    for links in tangles:
+        assert found(spark, links) == brute(links)
+
+
+def test_dead_ladder_below_a_cycle(spark):
+    # Two nodes a level, fully linked: 2^40 ways lead down, and none from a root.
+    links = [(f"l{i + 1:02}{s}", f"l{i:02}{t}") for i in range(40) for s in "ab" for t in "ab"] + [("l00a", "c"), ("l00b", "c"), ("c", "c"), ("x", "l40a"), ("x", "top")]
+    rows = found(spark, links)
+    assert ("x", "top > x") in rows and ("l40a", "below_cycle") in rows and len(rows) == 85
+
+
+def test_great_ring_and_deep_chain(spark):
+    ring = spark.range(100_000).selectExpr("'r' || id AS concepturi", "'r' || ((id + 1) % 100000) AS broaderuri")
+    chain = spark.range(3_000).selectExpr("'n' || (id + 1) AS concepturi", "'n' || id AS broaderuri")
+    rows = hierarchy(ring.unionByName(chain)).groupBy("state").agg({"depth": "max", "*": "count"}).collect()
+    assert {(r["state"], r["count(1)"], r["max(depth)"]) for r in rows} == {("cycle", 100_000, None), ("path", 3_001, 3_000)}
