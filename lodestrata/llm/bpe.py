@@ -23,7 +23,6 @@ from lodestrata.llm.arrow import lists
 
 #: Fixed value: the public pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-FOLDER = "/opt/tokenizers"
 #: Splits whose ids a worker keeps, and their greatest length in bytes; more are encoded anew.
 KEPT_SPLITS, KEPT_BYTES = 300_000, 48
 NONE = 1 << 60
@@ -92,14 +91,14 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Encodes texts; keeps the ids of short splits it has met."""
 
-    def __init__(self, ranks: dict[bytes, int], library_split=None):
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.known, self.pattern = ranks, {}, regex.compile(PATTERN)
         self.split = self.pattern.findall
-        self.library_split = library_split
+        self.library_split = library_splitter()
 
     def splits(self, text: str) -> Iterable[str]:
-        """The text's splits. Characters newer than this Python's Unicode go by the public tokenizer's own splitter where it is installed, since a newer table would call some of them letters."""
-        if self.library_split and not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+        """The text's splits. What letters are is the public tokenizer's own table's to say, so texts with characters that this Python doesn't know go by its splitter; on others both agree."""
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
             return self.library_split(text)
         return self.split(text) if len(text) < 1_000_000 else (m[0] for m in self.pattern.finditer(text))
 
@@ -117,6 +116,28 @@ class Encoder:
         return out
 
 
+def library_splitter():
+    """The public library's splitter for byte-level vocabularies. The library is needed wherever texts are encoded: without it ids could differ between machines, so its absence is an error."""
+    from tokenizers import pre_tokenizers
+
+    splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    return lambda text: [text[a:b] for _, (a, b) in splitter.pre_tokenize_str(text)]
+
+
+def encode(self, text: str) -> list[int]:
+        known, out = self.known, []
+        for s in self.splits(text):
+            ids = known.get(s)
+            if ids is None:
+                ids = merge(s.encode("utf-8", "surrogatepass"), self.ranks)
+                if len(s) <= KEPT_BYTES:
+                    if len(known) >= KEPT_SPLITS:
+                        known.clear()
+                    known[s] = ids
+            out += ids
+        return out
+
+
 def library_splitter():
     """The public library's splitter for byte-level vocabularies, or None where it isn't installed."""
     try:
@@ -127,7 +148,7 @@ def library_splitter():
     return lambda text: [text[a:b] for _, (a, b) in splitter.pre_tokenize_str(text)]
 
 
-def encode(df: DataFrame, text: str, keep: list[str], vocabulary: str = f"{FOLDER}/byte_bpe_50k.tiktoken", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, text: str, keep: list[str], vocabulary: str, ids: str = "ids") -> DataFrame:
     """``keep`` and ``ids``, the token ids (array of int) of ``text`` by the rank file ``vocabulary``.
 
     No special tokens are added, and their strings are ordinary text. A null text and an empty one
@@ -139,7 +160,7 @@ def encode(df: DataFrame, text: str, keep: list[str], vocabulary: str = f"{FOLDE
     data = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(read_ranks(data.value), library_splitter())
+        encoder = Encoder(read_ranks(data.value))
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)

@@ -8,7 +8,12 @@ Sentences then take the language of greatest posterior, documents the one of mos
 The model is a conditional trigram model over letters with word boundaries. A trigram that a
 language hasn't shown falls back to the mean of all languages, so that names tell for none.
 It is fitted on a bounded sample of labelled rows, whose wrong labels are replaced by the model's
-own between rounds; everything else covers all rows.
+own between rounds; everything else covers all rows. The languages are those of the sample's labels.
+
+A text is of none of them if its letters or its likelihood lie below what the sample's texts of
+its best language reach. A confidence is the share of words in sentences of the language times the
+language's posterior over those sentences, with likelihoods tempered so that on held-out sentences
+of the sample the posterior is as sure as it is right.
 """
 
 from __future__ import annotations
@@ -34,7 +39,8 @@ NAMES = {
     "nl": "nl nld dut dutch nederlands flemish vlaams",
     "pt": "pt por portuguese português portugues",
 }
-LANGUAGES = sorted(NAMES)
+#: Nats a trigram by which a text may lie below its language's mean, beside the deviations of its length.
+NONE_MARGIN, NONE_DEVIATIONS = 1.0, 4.0
 #: Labelled rows a language gives to the fit, on average, and the longest text among them.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
 #: Letters with a class of their own; with the space and all others there are 64 classes.
@@ -46,12 +52,12 @@ LEAST_PARAGRAPH = 15
 ROUNDS = 3
 
 
-def declared_language(column):
+def declared_language(column, names: dict[str, str] = NAMES):
     """The two-letter code that a declared language names, or null: codes of 2 or 3 letters with or without region, English and native names, in any case."""
     base = F.regexp_extract(F.lower(F.trim(column)), r"^(\p{L}+)(?:[-_ ].*|\s*\(.*)?$", 1)
     found = F.lit(None).cast("string")
-    for code in LANGUAGES:
-        found = F.when(base.isin(NAMES[code].split()), code).otherwise(found)
+    for code in sorted(names):
+        found = F.when(base.isin(names[code].split()), code).otherwise(found)
     return found
 
 
@@ -89,10 +95,30 @@ def unit_starts(points: np.ndarray, space: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Trigram model; ``classes``: class of each code point of the basic plane, ``table``: log-probabilities."""
+    """Trigram model of ``languages``.
+
+    ``classes``: class of each code point of the basic plane, ``table``: log-probabilities, ``usual``:
+    each language's mean and deviation of the log-probability of a trigram of its own texts,
+    ``heat``: what likelihoods are divided by for a posterior.
+    """
+
+    def __init__(self, languages: list[str], classes: np.ndarray, table: np.ndarray, usual: np.ndarray | None = None, heat: float = 1.0):
+        self.languages, self.classes, self.table, self.heat = list(languages), classes, table, heat
+        self.usual = np.tile([-1e9, 0.0], (len(languages), 1)) if usual is None else usual
+
+    def parts(self) -> tuple:
+        return self.languages, self.classes, self.table, self.usual, self.heat
 
-    def __init__(self, classes: np.ndarray, table: np.ndarray):
-        self.classes, self.table = classes, table
+    def none_of_these(self, score: np.ndarray, trigrams: np.ndarray, strange: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Whether texts of a summed ``score`` over ``trigrams``, ``strange`` of which end in letters that the sample hardly has, are of no language of the model."""
+        n = np.maximum(trigrams, 1)
+        mean, deviation = self.usual[language].T
+        return (score / n < mean - NONE_MARGIN - NONE_DEVIATIONS * deviation / np.sqrt(n)) | (2 * strange > trigrams)
+
+    def posterior(self, scores: np.ndarray, language: int) -> float:
+        """The tempered posterior of the language over the units of ``scores``."""
+        total = scores.sum(0) / self.heat
+        return float(1 / np.exp(np.minimum(total - total[language], 700)).sum())
 
     def trigrams(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the trigram that ends at each position kept, and those positions.
@@ -137,22 +163,56 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[str]) -> Model:
-    """A model from labelled texts. Labels may be wrong: sentences are labelled anew between rounds."""
+    """A model of the labels' languages from labelled texts. Labels may be wrong: sentences are labelled anew between rounds."""
+    model, trained = _trained(texts, labels)
+    if len(texts) >= 40:
+        # The temper is found on sentences that a model of the other half hasn't seen.
+        half, _ = _trained(texts[::2], labels[::2], model.languages)
+        model.heat = _heat(half, texts[1::2], labels[1::2])
+    points, starts, index_of, own = trained
+    index, _ = index_of
+    of = model.table[index, own]
+    model.usual = np.array([(x.mean(), x.std()) if len(x := of[own == k]) else (-1e9, 0.0) for k in range(len(model.languages))])
+    return model
+
+
+def _heat(model: Model, texts: list[str], labels: list[str]) -> float:
+    """The divisor of log-likelihoods under which the labels of unseen sentences are likeliest, some of them being wrong whatever the text."""
+    points = code_points(texts)
+    space = np.isin(points, _SPACE)
+    starts = unit_starts(points, space)
+    scores = model.scores(points, starts)
+    text_of = np.minimum(np.searchsorted(np.cumsum([len(t) + 3 for t in texts]), starts, side="right"), len(texts) - 1)
+    own = np.array([model.languages.index(x) for x in labels])[text_of]
+    used = scores.any(axis=1)
+    scores, own = scores[used], own[used]
+    best = (-np.inf, 1.0)
+    for heat in np.geomspace(1, 64, 25):
+        z = scores / heat
+        z -= z.max(1, keepdims=True)
+        right = np.exp(z[np.arange(len(z)), own]) / np.exp(z).sum(1)
+        for wrong in (0.01, 0.03, 0.1, 0.2, 0.3):
+            best = max(best, (float(np.log((1 - wrong) * right + wrong / scores.shape[1]).sum()), float(heat)))
+    return best[1]
+
+
+def _trained(texts: list[str], labels: list[str], languages: list[str] | None = None) -> tuple[Model, tuple]:
+    languages = languages or sorted(set(labels))
     points = code_points(texts)
     letters = fold(points)
     found, counts = np.unique(letters[letters != 32], return_counts=True)
     classes = np.where(_folded() == 32, 0, LETTERS + 1).astype(np.uint8)
     for i, letter in enumerate(found[np.argsort(-counts, kind="stable")][:LETTERS]):
         classes[_folded() == letter] = i + 1
-    model = Model(classes, np.zeros((1 << 18, len(LANGUAGES)), dtype=np.float32))
+    model = Model(languages, classes, np.zeros((1 << 18, len(languages)), dtype=np.float32))
     space = np.isin(points, _SPACE)
     starts = unit_starts(points, space)
     text_of = np.searchsorted(np.cumsum([len(t) + 3 for t in texts]), starts, side="right")
-    own = np.array([LANGUAGES.index(x) for x in labels])[np.minimum(text_of, len(texts) - 1)]
+    own = np.array([languages.index(x) for x in labels], dtype=np.int64)[np.minimum(text_of, len(texts) - 1)] if texts else np.zeros(len(starts), dtype=np.int64)
     index, at = model.trigrams(points)
     unit_of = np.searchsorted(starts, at, side="right") - 1
-    size = len(LANGUAGES)
-    for _ in range(ROUNDS):
+    size = len(languages)
+    for _ in range(ROUNDS if texts else 0):
         n3 = np.bincount(index * size + own[unit_of], minlength=size << 18).reshape(-1, size).astype(np.float64)
         n2 = np.repeat(n3.reshape(-1, 64, size).sum(1), 64, axis=0)
         even = (n3 / np.maximum(n3.sum(0), 1)).mean(1) * len(index)
@@ -168,7 +228,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
         best = whole.argmax(1)[np.minimum(text_of, len(texts) - 1)]
         clear = scores.max(1) - scores[np.arange(len(scores)), best] > 10
         own = np.where(clear, scores.argmax(1), best)
-    return model
+    return model, (points, starts, (index, at), own[unit_of])
 
 
 def sample(df: DataFrame, key: str, text: str, label, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
@@ -196,8 +256,9 @@ def mixture(scores: np.ndarray, words: np.ndarray, penalty: float = PENALTY) ->
 
     def run(members: list[int]) -> tuple[float, np.ndarray]:
         part = scores[:, members]
-        share = np.full(len(members), 1 / len(members))
-        for _ in range(8):
+        share, before = np.full(len(members), 1 / len(members)), np.zeros(len(members))
+        while np.abs(share - before).max() > 1e-4:
+            before = share
             joint = part + np.log(np.maximum(share, 1e-9))
             top = joint.max(1, keepdims=True)
             odds = np.exp(joint - top)
@@ -271,8 +332,9 @@ def label_texts(texts: list[str], model: Model) -> list[list[tuple[int, str | No
 
     Segments follow only where the paragraphs of at least ``LEAST_PARAGRAPH`` words are not all of
     one language: one for each such paragraph, by its position among all paragraphs. A text
-    without words has no language and confidence 0.
+    without words, or of none of the model's languages, has no language and confidence 0.
     """
+    names, size = model.languages, len(model.languages)
     points = code_points(texts)
     space = np.isin(points, _SPACE)
     starts = unit_starts(points, space)
@@ -280,27 +342,36 @@ def label_texts(texts: list[str], model: Model) -> list[list[tuple[int, str | No
     words = _words(points, space, starts)
     first = np.concatenate(([0], np.cumsum([len(t) + 3 for t in texts])[:-1]))
     unit_first = np.searchsorted(starts, first)
+    if not size:
+        return [[(0, None, 0.0, int(n))] for n in np.add.reduceat(words, unit_first)]
     whole = np.add.reduceat(scores, unit_first, axis=0)
     total = np.add.reduceat(words, unit_first)
     best = whole.argmax(1)
     bound = np.add.reduceat(scores.max(1), unit_first) - whole.max(1)
-    ordered = np.sort(whole, axis=1)
-    margin = ordered[:, -1] - ordered[:, -2]
+    kinds = model.classes[np.where(points < 0x10000, points, 0xFFFF)]
+    letters, strange = np.add.reduceat((kinds != 0).astype(np.int64), first), np.add.reduceat((kinds == LETTERS + 1).astype(np.int64), first)
     out = []
     unit_last = np.append(unit_first[1:], len(starts))
+
+    def sure(own: np.ndarray, weight: np.ndarray, language: np.ndarray, k: int) -> float:
+        """Share of the words in units of language ``k`` times its posterior over them."""
+        mine = language == k
+        return float(weight[mine].sum() / max(weight.sum(), 1)) * model.posterior(own[mine], k)
+
     for i, text in enumerate(texts):
-        n = int(total[i])
+        n, a, b = int(total[i]), unit_first[i], unit_last[i]
         if not n or not whole[i].any():
             out.append([(0, None, 0.0, n)])
             continue
-        sure = float(1 / (1 + np.exp(-min(margin[i], 50))))
         if bound[i] < PENALTY * np.log(max(n, 2)):
-            out.append([(0, LANGUAGES[best[i]], sure, n)])
+            language = np.full(b - a, best[i])
+        else:
+            language, _ = mixture(scores[a:b], words[a:b])
+        if model.none_of_these(scores[a:b].max(1).sum()[None], letters[i : i + 1], strange[i : i + 1], best[i : i + 1])[0]:
+            out.append([(0, None, 0.0, n)])
             continue
-        a, b = unit_first[i], unit_last[i]
-        language, posterior = mixture(scores[a:b], words[a:b])
-        weight = np.bincount(language, words[a:b] * posterior, minlength=len(LANGUAGES))
-        rows = [(0, LANGUAGES[int(weight.argmax())], float(weight.max() / max(weight.sum(), 1e-9)), n)]
+        main = int(np.bincount(language, words[a:b], minlength=size).argmax())
+        rows = [(0, names[main], sure(scores[a:b], words[a:b], language, main), n)]
         if (language != language[0]).any():
             segments = []
             for k, (x, y) in enumerate(paragraphs(text), 1):
@@ -308,39 +379,39 @@ def label_texts(texts: list[str], model: Model) -> list[list[tuple[int, str | No
                 if w >= LEAST_PARAGRAPH:
                     lo, hi = np.searchsorted(starts[a:b], (first[i] + x + 1, first[i] + y), side="left")
                     lo = max(lo - 1, 0)
-                    part = np.bincount(language[lo:hi], words[a:b][lo:hi] * posterior[lo:hi], minlength=len(LANGUAGES))
-                    segments.append((k, LANGUAGES[int(part.argmax())], float(part.max() / max(part.sum(), 1e-9)), w))
+                    part = int(np.bincount(language[lo:hi], words[a:b][lo:hi], minlength=size).argmax())
+                    segments.append((k, names[part], sure(scores[a:b][lo:hi], words[a:b][lo:hi], language[lo:hi], part), w))
             if len({s[1] for s in segments}) > 1:
                 rows += segments
         out.append(rows)
     return out
 
 
-def assign_languages(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
-    """``(key, seg, lang, confidence, words)`` of each row's text; see ``label_texts``.
+def assign_languages(df: DataFrame, model: Model, keep: list[str], text: str) -> DataFrame:
+    """``keep, seg, lang, confidence, words`` of each row's text; see ``label_texts``.
 
     Every row gives a row with seg 0, also a null or blank text (language null, confidence 0).
-    Rows with equal keys are labelled each for itself. An empty table gives no rows; other columns
+    Repeated rows are labelled each for itself. An empty table gives no rows; other columns
     are not read. There is no shuffle; the model (about 8 MB, whatever the data) is broadcast.
     """
-    held = df.sparkSession.sparkContext.broadcast((model.classes, model.table))
+    held = df.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*held.value)
         for batch in batches:
-            for part, texts in pieces(batch, "t"):
+            for part, texts in pieces(batch, "_text"):
                 rows = label_texts(texts, own)
-                of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+                of = pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
                 flat = [x for r in rows for x in r]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("k").take(pa.array(of)),
+                        *[part.column(c).take(of) for c in range(len(keep))],
                         pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.string()),
                         pa.array([x[2] for x in flat], pa.float64()), pa.array([x[3] for x in flat], pa.int64()),
                     ],
-                    names=["k", "seg", "lang", "confidence", "words"],
+                    names=[*keep, "seg", "lang", "confidence", "words"],
                 )
 
-    source = df.select(df[key].alias("k"), df[text].cast("string").alias("t"))
-    schema = f"k {source.schema['k'].dataType.simpleString()}, seg int, lang string, confidence double, words bigint"
-    return source.mapInArrow(run, schema).withColumnRenamed("k", key)
+    source = df.select(*keep, df[text].cast("string").alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{schema}, seg int, lang string, confidence double, words bigint")

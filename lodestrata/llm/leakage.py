@@ -6,7 +6,7 @@ n-gram that is rarest in the corpus is its seed, so common openings join few doc
 window of which any n-gram is nowhere in the corpus joins none. For edited copies every n-gram is a
 seed, since a copy may lack those that others hold. Documents and items that share a seed are
 aligned by Smith-Waterman on words, which also scores edited and paraphrased copies; the longest run
-of equal words comes with it.
+of equal words comes with it. Items are tables like the documents: neither comes to the driver.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.arrow import CHARS_AT_ONCE, code_points, mix, pieces
-from lodestrata.storage import cut, together
+from lodestrata.llm.arrow import CHARS_AT_ONCE, code_points, lists, mix, pieces
+from lodestrata.storage import cut, cut_counted
 
 #: Words of a seed and of the window that a copy must hold.
 SEED, WINDOW = 6, 12
-#: Characters of evaluation items that are searched at once; more items go in further passes.
-ITEM_CHARS = 20_000_000
+#: Bits a gram of the items takes in the filter that documents are screened with, and bits of the filter at most (16 MB).
+GRAM_BITS, FILTER_BITS = 16, 1 << 27
+#: Items of one document that are aligned in one row.
+ITEMS_AT_ONCE = 64
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Letters that decomposition leaves whole.
 _SPECIAL = str.maketrans({"æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ŋ": "n", "ħ": "h"})
@@ -48,9 +50,12 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
-_POWERS = np.ones(1 << 16, dtype=np.uint64)
-for _i in range(1, 1 << 16):
-    _POWERS[_i] = np.uint64((int(_POWERS[_i - 1]) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF)
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate(([1], np.full(0xFFFF, base, dtype=np.uint64))), dtype=np.uint64)
+
+
+#: Powers by which letters are weighted: of the place within 65,536 letters, and of how many such parts lie before it.
+_POWERS, _FAR_POWERS = _powers(0x100000001B3), _powers(pow(0x100000001B3, 1 << 16, 1 << 64))
 
 
 def _segments(text: str) -> list[str]:
@@ -87,9 +92,12 @@ def _hashes(folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(folded), dtype=np.int64)
     at = np.flatnonzero(inside)
     of = np.searchsorted(starts, at, side="right") - 1
-    place = np.minimum(at - starts[of], len(_POWERS) - 1)
+    place = at - starts[of]
+    weight = _POWERS[place & 0xFFFF]
+    if place.max() > 0xFFFF:
+        weight = weight * _FAR_POWERS[place >> 16]
     first = np.searchsorted(at, starts)
-    hashes = mix(np.add.reduceat((points[at].astype(np.uint64) + np.uint64(1)) * _POWERS[place], first))
+    hashes = mix(np.add.reduceat((points[at].astype(np.uint64) + np.uint64(1)) * weight, first))
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, ends))))
     return hashes, counts
 
@@ -129,16 +137,43 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
     return best, end, longest, int(np.isin(item, doc).sum())
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """Items in blocks of bounded size, read by the driver one row after the other."""
-    blocks, size = [[]], 0
-    for row in items.toLocalIterator():
-        if size > ITEM_CHARS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], row[1]))
-        size += len(row[1])
-    return blocks
+def _item_table(items: DataFrame, item: str, item_text: str, seed: int) -> DataFrame:
+    """``(k, i, n, words, grams)`` of each distinct item with an id and a text: its number, id, words, and hashes of words and n-grams; written."""
+    rows = items.select(F.col(item).alias("i"), F.col(item_text).cast("string").alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull()).distinct()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in pieces(batch, "t"):
+                hashes, counts = word_hashes(texts)
+                found, at = grams(hashes, counts, seed)
+                own = np.bincount(np.repeat(np.arange(len(texts)), counts)[at], minlength=len(texts)) if len(at) else np.zeros(len(texts), dtype=np.int64)
+                words = [w.tobytes() for w in np.split(hashes, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("i"), pa.array(counts, pa.int32()), pa.array(words, pa.binary()), lists(found.view(np.int64), own)], names=["i", "n", "words", "grams"]
+                )
+
+    schema = f"i {rows.schema['i'].dataType.simpleString()}, n int, words binary, grams array<bigint>"
+    return cut(rows.mapInArrow(split, schema).select(F.monotonically_increasing_id().alias("k"), "*"), "items")
+
+
+def _bit_places(found: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of each gram in a filter of ``bits`` bits, a power of two."""
+    return [(mix(found + np.uint64(i)) & np.uint64(bits - 1)).astype(np.int64) for i in range(3)]
+
+
+def _gram_filter(wanted: DataFrame, distinct: int) -> np.ndarray:
+    """A Bloom filter, as bytes, of the ``distinct`` grams ``(g)``. Its size is bounded, whatever the items; past that more grams pass it than need to."""
+    bits = min(FILTER_BITS, max(1024, 1 << (GRAM_BITS * distinct - 1).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(_bit_places(batch.column("g").to_numpy().view(np.uint64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["at", "bits"])
+
+    rows = wanted.mapInArrow(places, "at bigint, bits bigint").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    out = np.zeros(bits >> 6, dtype=np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
 def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, window: int = WINDOW, seed: int = SEED, edited: bool = False) -> DataFrame:
@@ -153,75 +188,63 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     Rows with a null id or text give none, nor do items shorter than ``seed`` words; a document id
     or item id that stands in several rows gives the distinct rows of all of them. Documents
     without leaks, empty and blank ones give none; very long ones are read whole. Columns that are
-    not named are not read. The items are a query set: they go to the executors in blocks of at
-    most ``ITEM_CHARS`` characters, and all documents are searched for each block.
+    not named are not read. All documents are read once for the items' n-grams, screened by a filter of
+    bounded size, and once for the texts that have a seed.
     """
     spark = docs.sparkSession
-    ids = (docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString())
+    kinds = (docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString())
     texts = docs.select(F.col(doc).alias("d"), F.col(text).cast("string").alias("t")).where(F.col("d").isNotNull() & F.col("t").isNotNull())
-    rows = items.select(item, F.col(item_text).cast("string").alias("t")).where(F.col(item).isNotNull() & F.col("t").isNotNull()).distinct()
-    parts = [_search(spark, texts, block, ids, window, seed, edited) for block in _blocks(rows) if block]
-    if not parts:
-        return spark.createDataFrame([], f"`{doc}` {ids[0]}, `{item}` {ids[1]}, score int, share double, longest_run int, item_words int, end_word int")
-    return together(parts).withColumnsRenamed({"d": doc, "i": item})
-
-
-def _rarest(spark, found: DataFrame, wanted: np.ndarray, number: np.ndarray, per: int) -> DataFrame:
-    """The seeds ``(k, g)`` of windows of ``per`` n-grams: the n-gram of fewest documents, unless one of them is in no document."""
-    slots = {}
-    for k in np.unique(number).tolist():
-        own = wanted[number == k]
-        for start in range(max(len(own) - per + 1, 1)):
-            slots.setdefault(k, []).append([int(x) for x in own[start : start + per].view(np.int64)])
-    wins = [(k, n, g) for k, all_ in slots.items() for n, gs in enumerate(all_) for g in gs]
-    frame = spark.createDataFrame(pa.table({"k": pa.array([w[0] for w in wins], pa.int32()), "n": pa.array([w[1] for w in wins], pa.int32()), "g": pa.array([w[2] for w in wins], pa.int64())}))
-    spread = found.groupBy("g").agg(F.count("*").alias("docs"))
-    rarest = F.row_number().over(Window.partitionBy("k", "n").orderBy(F.coalesce("docs", F.lit(0)), "g"))
-    counted = frame.join(spread, "g", "left").withColumn("r", rarest)
-    return counted.where((F.col("r") == 1) & F.col("docs").isNotNull()).select("k", "g").distinct()
-
-
-def _search(spark, texts: DataFrame, block: list[tuple[int, str]], ids: tuple[str, str], window: int, seed: int, edited: bool) -> DataFrame:
-    hashes, counts = word_hashes([t for _, t in block])
-    wanted, place = grams(hashes, counts, seed)
-    number = np.repeat(np.arange(len(block)), counts)[place] if len(place) else place
-    known = spark.sparkContext.broadcast(np.unique(wanted))
-    held = spark.sparkContext.broadcast(np.split(hashes, np.cumsum(counts)[:-1]))
-    names = [i for i, _ in block]
+    table = _item_table(items, item, item_text, seed)
+    wanted, distinct = cut_counted(table.select(F.explode("grams").alias("g")).distinct(), "grams")
+    held = spark.sparkContext.broadcast(_gram_filter(wanted, distinct))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(held.value) * 8
         for batch in batches:
             for part, own in pieces(batch, "t"):
-                found, at = grams(*(words := word_hashes(own)), seed)
-                where = np.searchsorted(known.value, found)
-                ok = np.flatnonzero(known.value[np.minimum(where, len(known.value) - 1)] == found) if len(known.value) else where[:0]
-                text_of = np.repeat(np.arange(len(own)), words[1])[at[ok]] if len(ok) else ok
+                hashes, counts = word_hashes(own)
+                found, at = grams(hashes, counts, seed)
+                ok = np.arange(len(found))
+                for place in _bit_places(found, size):
+                    ok = ok[held.value[place[ok] >> 3] >> (place[ok] & 7).astype(np.uint8) & 1 == 1]
+                text_of = np.repeat(np.arange(len(own)), counts)[at[ok]] if len(ok) else ok
                 both = np.unique(np.stack([text_of.astype(np.uint64), found[ok]]), axis=1) if len(ok) else np.zeros((2, 0), dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("d").take(pa.array(both[0].astype(np.int64))), pa.array(both[1].view(np.int64))], names=["d", "g"])
 
-    found = cut(texts.mapInArrow(hits, f"d {ids[0]}, g bigint"), "hits")
-    if edited:
-        pairs_of = np.unique(np.stack([number.astype(np.int64), wanted.view(np.int64)]), axis=1)
-        seeds = spark.createDataFrame(pa.table({"k": pa.array(pairs_of[0].astype(np.int32)), "g": pa.array(pairs_of[1])}))
-    else:
-        seeds = _rarest(spark, found, wanted, number, window - seed + 1)
-    # At most as many items a document as there are in the block. Written, so that the planner knows
-    # their size: texts are shuffled to them only if they are many.
-    pairs = cut(found.join(seeds, "g").groupBy("d").agg(F.collect_set("k").alias("ks")), "candidates")
+    met = cut(texts.mapInArrow(hits, f"d {kinds[0]}, g bigint"), "hits")
+    seeds = table.select("k", F.explode("grams").alias("g")).distinct() if edited else _rarest(table, met, window - seed + 1)
+    pairs = met.join(seeds, "g").select("d", "k").distinct()
+    # A document's items in rows of bounded size. Written, so that the planner knows their size: texts are shuffled to them only if they are many.
+    turn = F.row_number().over(Window.partitionBy("d").orderBy("k"))
+    placed = pairs.withColumn("part", F.floor((turn - 1) / ITEMS_AT_ONCE)).join(table.select("k", "i", "words"), "k")
+    candidates = cut(placed.groupBy("d", "part").agg(F.collect_list(F.struct("i", "words")).alias("own")).select("d", "own"), "candidates")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kind = batch.schema.field("own").type.value_type.field("i").type
             out = []
-            for d, t, ks in zip(*(batch.column(c).to_pylist() for c in ("d", "t", "ks")), strict=True):
+            for d, t, own in zip(*(batch.column(c).to_pylist() for c in ("d", "t", "own")), strict=True):
                 words, _ = word_hashes([t])
-                for k in ks:
-                    own = held.value[k]
-                    best, end, longest, _ = align(words, own)
-                    out.append((d, names[k], best, best / (MATCH * len(own)), longest, len(own), end))
+                for one in own:
+                    item_words = np.frombuffer(one["words"], dtype=np.uint64)
+                    best, end, longest, _ = align(words, item_words)
+                    out.append((d, one["i"], best, best / (MATCH * len(item_words)), longest, len(item_words), end))
             columns = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [batch.schema.field("d").type, kind, pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["d", "i", "score", "share", "longest_run", "item_words", "end_word"])
-
-    kind = pa.string() if ids[1] == "string" else pa.int32() if ids[1] == "int" else pa.int64()
-    schema = f"d {ids[0]}, i {ids[1]}, score int, share double, longest_run int, item_words int, end_word int"
-    return cut(texts.join(pairs, "d").select("d", "t", "ks").mapInArrow(score, schema).distinct(), "leaks")
+            types = [batch.schema.field("d").type, kind, pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["d", "i", "score", "share", "longest_run", "item_words", "end_word"])
+
+    schema = f"d {kinds[0]}, i {kinds[1]}, score int, share double, longest_run int, item_words int, end_word int"
+    return cut(texts.join(candidates, "d").select("d", "t", "own").mapInArrow(score, schema).distinct(), "leaks").withColumnsRenamed({"d": doc, "i": item})
+
+
+def _rarest(table: DataFrame, met: DataFrame, per: int) -> DataFrame:
+    """The seeds ``(k, g)`` of the items' windows of ``per`` n-grams: the n-gram of fewest documents, unless one of them is in no document."""
+    spread = met.groupBy("g").agg(F.count("*").alias("docs"))
+    placed = table.select("k", F.posexplode("grams").alias("at", "g")).join(spread, "g", "left")
+    frame = Window.partitionBy("k").orderBy("at").rowsBetween(0, per - 1)
+    windows = placed.select(
+        "k", "at", F.count("*").over(frame).alias("n"), F.count("docs").over(frame).alias("there"), F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "g")).over(frame).alias("least")
+    )
+    # The last windows of an item are cut short; one shorter than a window has only its first.
+    whole = (F.col("n") == per) | (F.col("at") == 0)
+    return windows.where(whole & (F.col("n") == F.col("there"))).select("k", F.col("least.g").alias("g")).distinct()

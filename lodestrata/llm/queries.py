@@ -8,6 +8,8 @@ from lodestrata.llm import bktree, bpe, langmix, leakage, readlevel, residue, se
 from lodestrata.operators.snapshots import latest_snapshot, valid_rows
 
 LEAST_WORDS = 40
+#: Where the public vocabulary of the encoding query lies.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _table(spark, folder, name):
@@ -32,23 +34,18 @@ def _postings_model(spark, folder):
 
 
 def p1_languages(spark, folder):
-    """The language of every valid posting of all snapshots and of its segments, with its confidence; a text without words has none."""
+    """The language of every valid posting of all snapshots and of its segments, with its confidence; a text without words, or of no language of the sample, has none."""
     rows = valid_rows(_table(spark, folder, "postings"), ["snapshot_id", "posting_id"], "fetched_at", ["clean_text"])
-    keyed = rows.select(F.to_json(F.struct("snapshot_id", "posting_id")).alias("key"), "clean_text")
-    found = langmix.assign_languages(keyed, _postings_model(spark, folder), "key", "clean_text")
-    return found.withColumn("key", F.from_json("key", "snapshot_id string, posting_id string")).select("key.*", "seg", "lang", "confidence", "words")
+    return langmix.assign_languages(rows, _postings_model(spark, folder), ["snapshot_id", "posting_id"], "clean_text")
 
 
 def p1_found(spark, folder):
-    rows = _current(spark, folder, ["clean_text", "source_language"])
     # The declared language travels with the id, so that the labels need no join.
-    keyed = rows.select(F.struct("posting_id", "source_language").alias("key"), "clean_text")
-    found = langmix.assign_languages(
-        keyed.withColumn("key", F.to_json("key", {"ignoreNullFields": "false"})), _postings_model(spark, folder), "key", "clean_text"
-    ).withColumn("key", F.from_json("key", "posting_id string, source_language string"))
+    rows = _current(spark, folder, ["clean_text", "source_language"])
+    found = langmix.assign_languages(rows, _postings_model(spark, folder), ["posting_id", "source_language"], "clean_text")
     return found.where(
-        F.col("lang").isNotNull() & ((F.col("seg") > 0) | langmix.declares_another(F.col("key.source_language"), F.col("lang")))
-    ).select("key.posting_id", "seg", "lang").distinct()
+        F.col("lang").isNotNull() & ((F.col("seg") > 0) | langmix.declares_another(F.col("source_language"), F.col("lang")))
+    ).select("posting_id", "seg", "lang").distinct()
 
 
 def _near(rows):
@@ -70,17 +67,19 @@ def p3_classes(spark, folder):
     return setsketch.link_counts(*_near(_latest(spark, folder, ["clean_text"])), "posting_id")
 
 
-def p4_found(spark, folder):
+def _residue(spark, folder):
+    """Valid postings with a segment that is residue. Every delivered row is marked where it is read, so that no text is shuffled to find the valid ones."""
     marked = residue.mark_residue(_table(spark, folder, "postings"), ["snapshot_id", "posting_id", "fetched_at"], ["title", "clean_text"])
-    valid = valid_rows(marked, ["snapshot_id", "posting_id"], "fetched_at", ["kinds"])
-    return valid.where(F.col("kinds") != "").select("snapshot_id", "posting_id")
+    return valid_rows(marked, ["snapshot_id", "posting_id"], "fetched_at", ["coverage", "dense", "kinds"]).where(F.col("dense") >= residue.COVER)
+
+
+def p4_found(spark, folder):
+    return _residue(spark, folder).select("snapshot_id", "posting_id")
 
 
 def p4_coverage(spark, folder):
     """Valid postings with residue: its kinds, its share, and whether the posting is to be excluded for it."""
-    marked = residue.mark_residue(_table(spark, folder, "postings"), ["snapshot_id", "posting_id", "fetched_at"], ["title", "clean_text"])
-    valid = valid_rows(marked, ["snapshot_id", "posting_id"], "fetched_at", ["coverage", "kinds"])
-    return valid.where(F.col("kinds") != "").withColumn("excluded", F.col("coverage") >= 0.5)
+    return _residue(spark, folder).withColumn("excluded", F.col("coverage") >= 0.5)
 
 
 def _concept_labels(spark, folder):
@@ -98,7 +97,7 @@ def p6_found(spark, folder):
 
 
 def p7_ids(spark, folder):
-    return bpe.encode(_table(spark, folder, "documents"), "text", ["doc_id"])
+    return bpe.encode(_table(spark, folder, "documents"), "text", ["doc_id"], VOCABULARY)
 
 
 def _leaks(spark, folder, edited=False):
@@ -107,7 +106,9 @@ def _leaks(spark, folder, edited=False):
 
 
 def p8_found(spark, folder):
-    return _leaks(spark, folder).where(F.col("longest_run") >= leakage.WINDOW).select("doc_id", "item_id").distinct()
+    """Pairs whose alignment scores what a window of equal words does, and then, exactly, has such a run."""
+    scored = _leaks(spark, folder).where(F.col("score") >= leakage.MATCH * leakage.WINDOW)
+    return scored.where(F.col("longest_run") >= leakage.WINDOW).select("doc_id", "item_id").distinct()
 
 
 def p8_alignments(spark, folder):
@@ -136,6 +137,16 @@ QUERIES = {
     for f in (p1_found, p1_languages, p3_found, p3_pairs, p3_classes, p4_found, p4_coverage, p6_found, p7_ids, p8_found, p8_alignments, p9_found, p9_levels)
 }
 
+def _plain_words(column: str) -> str:
+    """SQL of a text's words without case, accents, ligatures and width."""
+    wide = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+    narrow = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+    text = f"translate({column}, '{wide}', '{narrow}')"
+    for whole, parts in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ß", "ss"), ("æ", "ae"), ("œ", "oe")):
+        text = f"replace({text}, '{whole}', '{parts}')"
+    return f"regexp_extract_all(lower(strip_accents({text})), '[\\p{{L}}\\p{{N}}]+')"
+
+
 #: The exact definition of near-duplicate pairs: shared distinct word tokens of the case-folded text.
 ORACLE = {
     "p3_found": """
@@ -146,4 +157,10 @@ words AS (SELECT p, unnest(s) AS x FROM sets),
 shared AS (SELECT a.p AS a, b.p AS b, count(*) AS n FROM words a JOIN words b ON a.x = b.x AND a.p < b.p GROUP BY ALL)
 SELECT h.a AS posting_id_a, h.b AS posting_id_b FROM shared h JOIN sets x ON x.p = h.a JOIN sets y ON y.p = h.b
 WHERE n >= 0.8 * (len(x.s) + len(y.s) - n)""",
+    "p8_found": rf"""
+WITH docs AS (SELECT doc_id, {_plain_words("text")} AS w FROM documents),
+items AS (SELECT item_id, {_plain_words("item_text")} AS w FROM eval_items),
+wanted AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM items WHERE len(w) >= 12)),
+there AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM docs WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM there JOIN wanted USING (g) WHERE doc_id IS NOT NULL AND item_id IS NOT NULL""",
 }

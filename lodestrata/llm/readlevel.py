@@ -117,12 +117,12 @@ def reading_levels(docs: DataFrame, doc: str, text: str, grades: Grades, model:
     rated; an empty table gives none; very long texts count whole; other columns are not read.
     There is no shuffle; grades and model are bounded by the samples they were fitted on.
     """
-    held = docs.sparkSession.sparkContext.broadcast((grades, model.classes, model.table))
-    english = langmix.LANGUAGES.index("en")
+    held = docs.sparkSession.sparkContext.broadcast((grades, model.parts()))
+    english = model.languages.index("en") if "en" in model.languages else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, classes, table = held.value
-        languages = langmix.Model(classes, table)
+        own, parts = held.value
+        languages = langmix.Model(*parts)
         for batch in batches:
             for part, texts in pieces(batch, "t"):
                 bands, levels, shares, counts = [], [], [], []

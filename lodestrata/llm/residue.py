@@ -1,10 +1,10 @@
 """Template residue, filler and error-page text in records that should hold real content.
 
 One Aho-Corasick automaton finds all phrases of error pages, script notices and filler in several
-languages in a single pass; placeholders of template languages are found by their shape. A phrase
-counts by how much of its sentence it covers: "Access denied." is an error page, "you design what
-people see when access is denied" is not. A record's coverage is the share of its letters and
-digits in residue; callers exclude records by it, or all that hold any.
+languages in a single pass, with the marks that open template fields; a mark is followed to its
+closing one. A phrase counts by how much of its segment it covers: "Access denied." is an error
+page, "you design what people see when access is denied" is not. A record's coverage is the share
+of its letters and digits in residue; callers exclude records by it, or all with a segment of it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 #: Phrases of error pages and of servers that gave no page.
 ERRORS = """
-page not found|page cannot be found|page could not be found|page does not exist|page you requested|page you are looking for
+page not found|page can't be found|page cannot be found|page could not be found|page does not exist|page you requested|page you are looking for
 requested document does not exist|requested url was not found|does not exist on this server|not found on this server
 internal server error|error code|http error|server error|bad gateway|gateway timeout|gateway time-out|bad request|upstream|timed out
 service unavailable|temporarily unavailable|service temporarily unavailable|please try again in|try again later|seconds
@@ -26,7 +26,7 @@ access denied|access to this page has been denied|permission denied|forbidden|yo
 too many requests|slow down|rate limit exceeded|your session has expired|session expired|session timed out|please log in again|please sign in again|log in again to continue
 something went wrong|an error occurred|an unexpected error occurred|unexpected error|while loading this position|while loading this page|failed to load|unable to load|could not be loaded
 down for maintenance|site is down|under maintenance|scheduled maintenance|we'll be back soon|be back shortly|checking your browser|before you can view this page|verify you are human|verifying you are human|are you a robot|complete the captcha|ray id|ray
-this job is no longer available|404 error|error 404|404 not found|403 forbidden|500 internal|502 bad|503 service|back to start|contact support|go back to the homepage|error the requested
+this job is no longer available|404 error|error 404|404 not found|403 forbidden|500 internal|502 bad|503 service|request was blocked|request has been blocked|blocked by the security service|security service|oops|back to start|contact support|go back to the homepage|error the requested
 seite nicht gefunden|seite wurde nicht gefunden|bitte prüfen sie die adresse|zugriff verweigert|interner serverfehler|dienst nicht verfügbar|ihre sitzung ist abgelaufen|sitzung abgelaufen|bitte melden sie sich erneut an|zu viele anfragen|ein fehler ist aufgetreten|wartungsarbeiten|versuchen sie es später|bitte versuchen sie es später erneut
 page non trouvée|page introuvable|page n'existe pas|erreur interne du serveur|réessayez plus tard|veuillez réessayer plus tard|accès refusé|service indisponible|votre session a expiré|session expirée|veuillez vous reconnecter|trop de requêtes|une erreur est survenue|une erreur s'est produite|site en maintenance|vérifiez l'adresse
 página no encontrada|no se encontró la página|la página no existe|error interno del servidor|acceso denegado|servicio no disponible|su sesión ha caducado|la sesión ha expirado|inicie sesión de nuevo|demasiadas solicitudes|se ha producido un error|algo salió mal|inténtelo de nuevo más tarde|en mantenimiento
@@ -37,8 +37,8 @@ pagina niet gevonden|de pagina bestaat niet|interne serverfout|toegang geweigerd
 #: Notices that scripts or cookies are required.
 SCRIPTS = """
 enable javascript|you need to enable javascript to run this app|javascript is disabled|javascript is required to|turn on javascript|javascript must be enabled|please enable|requires javascript|to run this app|to continue
-turn on scripts|allow scripts|enable scripts|scripts and cookies switched on|works only with scripts|enable cookies|cookies are disabled|cookies must be enabled|this page works only with|for this page|in your browser to view|to view this job|to view this page|to see this job|your browser does not support|your browser is not supported|browser cannot display this content|noscript|if nothing happens|loading...|loading…
-javascript ist deaktiviert|aktivieren sie javascript|javascript aktivieren|javascript einschalten|bitte aktivieren sie|um die stelle zu sehen|um diese seite zu sehen|cookies aktivieren|ihr browser unterstützt
+requires scripting|scripting to be on|scripting must be on|turn on scripting|enable scripting|turn on scripts|allow scripts|enable scripts|scripts and cookies switched on|works only with scripts|enable cookies|cookies are disabled|cookies must be enabled|this page works only with|for this page|in your browser to view|to view this job|to view this page|to see this job|your browser does not support|your browser is not supported|browser cannot display this content|noscript|if nothing happens|loading...|loading…
+javascript ist deaktiviert|javascript im browser erlauben|javascript erlauben|erlauben sie javascript|skripte erlauben|skripte aktivieren|aktivieren sie javascript|javascript aktivieren|javascript einschalten|bitte aktivieren sie|um die stelle zu sehen|um diese seite zu sehen|cookies aktivieren|ihr browser unterstützt
 activer javascript|activez javascript|javascript est désactivé|veuillez activer|pour afficher cette offre|pour afficher cette page|autorisez les cookies|votre navigateur ne
 habilite javascript|active javascript|activar javascript|habilitar javascript|javascript está desactivado|para ver esta oferta|para ver esta página|su navegador no|en su navegador para continuar
 habilite o javascript|ative o javascript|ativar o javascript|javascript está desativado|no seu navegador para continuar|para ver esta vaga|o seu navegador não
@@ -48,33 +48,47 @@ schakel javascript in|javascript inschakelen|javascript is uitgeschakeld|zet jav
 #: Filler and notes to the writer.
 FILLER = """
 lorem ipsum|ipsum dolor|sample text|dummy text|placeholder text|filler text|text goes here|your text here|description goes here|add text here|add description here|enter description here|insert text here|insert title here|title goes here|job title here|insert paragraph|about the team here
-this is a test posting|this is a test|test posting|please ignore|test test|test job|do not apply|do not publish|replace this sentence|before publishing|replace this text|replace me|to be supplied|description to be supplied by|to be added|to be completed|to be defined|description to follow|text to follow|coming soon|content to come|tbd|tba|todo|fixme|xxx|add responsibilities|add requirements|add benefits|blah|blah blah|blah description blah|qwerty|asdf|asdfgh|foo bar|foobar|untitled|no title
+this is a test posting|this is a test|test posting|please ignore|test test|test job|do not apply|do not publish|replace this sentence|before publishing|replace this text|replace me|to be supplied|description to be supplied by|to be added|to be completed|to be defined|description to follow|text to follow|coming soon|content to come|tbd|tba|tbc|to be confirmed|to be announced|todo|fixme|xxx|add responsibilities|add requirements|add benefits|blah|blah blah|blah description blah|qwerty|asdf|asdfgh|foo bar|foobar|untitled|no title
 beispieltext|blindtext|platzhaltertext|text folgt|beschreibung folgt|hier text einfügen|titel einfügen|bitte ignorieren|dies ist ein test|texte d'exemple|texte de remplissage|texte à venir|description à venir|insérer le texte ici|ceci est un test|veuillez ignorer
 texto de ejemplo|texto de relleno|descripción pendiente|insertar texto aquí|esto es una prueba|por favor ignorar|texto de exemplo|descrição a definir|inserir texto aqui|isto é um teste|por favor ignore|testo di esempio|testo segnaposto|descrizione in arrivo|inserire testo qui|questo è un test|si prega di ignorare|voorbeeldtekst|opvultekst|tekst volgt|beschrijving volgt|voeg hier tekst in|dit is een test|gelieve te negeren
 """
-#: Words of Latin-like filler that are told by their company, not one by one.
-LATIN = "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum urna vitae porta tibi novum quan manit fuscat pretor velor pellentesque vestibulum"
+#: Words of the customary Latin filler and of its generators, told by their company, not one by one.
+LATIN = """
+lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat
+duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum
+pellentesque vestibulum suspendisse potenti facilisi facilisis mauris vitae porta urna tortor sapien libero congue mattis nunc donec praesent vivamus aenean phasellus nullam curabitur maecenas integer quisque etiam fusce morbi proin aliquam cras
+ultrices ultricies tristique senectus netus malesuada fames turpis egestas habitant metus justo lacus lectus odio orci ornare pharetra placerat posuere pretium primis pulvinar purus rhoncus risus rutrum sagittis scelerisque sem semper sodales sollicitudin
+tellus tempus tincidunt ullamcorper varius vehicula vel venenatis viverra volutpat vulputate interdum hendrerit iaculis imperdiet lacinia laoreet leo ligula lobortis luctus maximus molestie neque nibh nec gravida euismod eget efficitur eleifend elementum erat eros felis fermentum feugiat finibus fringilla diam dictum dignissim dui convallis cursus dapibus condimentum blandit bibendum auctor augue arcu ante accumsan ac at a
+"""
 #: Words of which the names of template fields are made.
 FIELDS = """
 name first last full middle company employer organisation organization client team city town location office country region state street department division title job role position posting vacancy reference description body html text content summary
 date day start end closing deadline salary pay wage rate min max minimum maximum hours hour shift schedule week manager supervisor recruiter hiring contact person phone telephone tel mobile mail email e-mail address candidate applicant user url link website site number no id amount currency bonus percent percentage benefits benefit requirements requirement responsibilities responsibility skills skill level grade type contract duration value here the a of your
-nombre apellido empresa ciudad puesto fecha salario correo departamento nom prénom entreprise ville poste date salaire service vorname nachname firma unternehmen stadt ort stelle datum gehalt abteilung nome cognome azienda città posizione data stipendio reparto sobrenome cidade cargo naam bedrijf stad plaats functie salaris afdeling
+nombre apellido empresa ciudad puesto fecha salario correo departamento nom prénom entreprise ville poste date salaire service vorname nachname firma unternehmen stadt ort stelle datum gehalt abteilung firmen stellen ansprechpartner adresse telefon straße anrede nome cognome azienda città posizione data stipendio reparto sobrenome cidade cargo naam bedrijf stad plaats functie salaris afdeling
 """
-#: Share of a sentence that phrases must cover, and of its words that Latin-like filler must be.
+#: Share of a segment that phrases must cover, and of its words that Latin-like filler must be, of which the least number.
 COVER, LEAST_LATIN = 0.5, 4
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
+#: Letters that a word of Latin-like filler that isn't listed may end with, and the share of a segment's words that must be listed then.
+LATIN_ENDS, LISTED = ("us", "um", "is", "it", "at", "et", "ae", "am", "em", "or", "ur", "nt", "os", "as", "an", "ibi"), 0.3
+_SEGMENT = re.compile(r"(?<=[.!?…;])\s+|\n+|\s+[-–—|•·]+\s+|\s*\|\s*")
 _ALNUM = re.compile(r"[^\W_]")
-_NAME = r"[A-Za-zÀ-ÿ][\w.\- ]{0,48}"
+#: Pairs of marks that only templates have, and what may stand between them: anything, or a name.
+PAIRS = (
+    ("{{", "}}", None), ("{%", "%}", None), ("<%", "%>", None), ("&lt;%", "%&gt;", None), ("${", "}", None), ("#{", "}", None), ("{#", "}", None),
+    ("[[", "]]", "name"), ("<<", ">>", "name"), ("&lt;&lt;", "&gt;&gt;", "name"), ("|*", "*|", "name"), ("*|", "|*", "name"), ("@@", "@@", "name"), ("%%", "%%", "name"), ("$$", "$$", "word"), ("%(", ")s", "word"), ("%(", ")d", "word"),
+)
+_INSIDE = {"name": re.compile(r"\s*[^\W\d_][\w.\- ]*"), "word": re.compile(r"[^\W\d]\w*")}
 #: Shapes that only templates have.
 _SURE = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}|\{%[^\n]{0,120}?%\}|<%[^\n]{0,120}?%>|&lt;%[^\n]{0,120}?%&gt;|[$#]\{[^{}\n]{1,60}\}|\{#[^{}\n]{0,40}\}|\{\d{1,2}\}|%\(\w{1,40}\)[sd]"
-    rf"|\[\[\s?{_NAME}\s?\]\]|<<\s?{_NAME}\s?>>|&lt;&lt;\s?{_NAME}\s?&gt;&gt;|\|\*{_NAME}\*\||\*\|{_NAME}\|\*|@@{_NAME}@@|%%{_NAME}%%|\$\$[A-Za-z]\w{{1,40}}\$\$"
-    r"|(?<!\w)_{2,}[A-Za-z][\w.\- ]{0,40}?_{2,}(?!\w)|(?<![\w%])%[A-Za-z][A-Za-z_.]{2,40}%(?![\w%])|(?<![\w#])#[A-Z][A-Z0-9_]{2,40}#(?![\w#])"
+    r"\{\d+\}|(?<!\w)_{2,}[A-Za-z](?:[\w.\- ]*?[A-Za-z\d])?_{2,}(?!\w)|(?<![\w%])%[A-Za-z][A-Za-z_.]{2,}%(?![\w%])|(?<![\w#])#[A-Z][A-Z0-9_]{2,}#(?![\w#])|\b(?P<edge>[A-Z])(?P=edge)_[A-Z]+(?:_[A-Z]+)*_(?P=edge){2}\b"
     r"|\[object Object\]|\bNaN\b|\b(?:undefined|null)\b(?:\W{1,3}(?:undefined|null)\b)+"
 )
 #: Brackets that hold a field's name in templates and other things elsewhere.
-_MAYBE = re.compile(r"\[([^\[\]\n]{2,60})\]|<([^<>\n]{2,60})>|&lt;([^&\n]{2,60})&gt;|«\s?([^«»\n]{2,60}?)\s?»|\{([^{}\n]{2,60})\}")
+_MAYBE = re.compile(r"\[([^\[\]\n]{2,})\]|<([^<>\n]{2,})>|&lt;([^&\n]{2,})&gt;|«\s?([^«»\n]{2,}?)\s?»|\{([^{}\n]{2,})\}|\(((?:please )?(?:insert|enter|add|fill in) [^()\n]+)\)", re.I)
+#: Marks that the automaton looks for; where one stands, template fields are looked for.
+OPENERS = ("{", "[", "<", "&lt;", "«", "%", "$$", "@@", "|*", "*|", "__", "#", "xx_", "yy_", "zz_", "(insert", "(enter", "(add", "(fill", "(please", "nan", "null", "undefined")
 _ORDER = re.compile(r"^(?:please )?(?:insert|add|enter|fill in|your|type|replace|choose|select)\b|^(?:einfügen|insérer|insertar|inserir|inserire|invoegen)\b|\b(?:here|einfügen|ici|aquí|aqui|qui|invullen)$", re.I)
+_BLANKS = re.compile(r"[^\S\n]+")
 _PARTS = re.compile(r"[\W_]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -84,17 +98,41 @@ def _fields() -> frozenset[str]:
 
 
 def field_name(inner: str) -> bool:
-    """Whether what stands in brackets names a template field: snake, camel or dotted case, an order to the writer, or field words only."""
+    """Whether what stands in brackets names a template field: snake, camel or dotted case, an order to the writer, or words that field names are made of."""
     inner = inner.strip()
     if _ORDER.search(inner) or re.fullmatch(r"[A-Za-z]+(?:[_.][A-Za-z0-9]+)+", inner):
         return True
     parts = [p.lower() for p in _PARTS.split(inner) if p]
-    return bool(parts) and all(p in _fields() or p.isdigit() for p in parts)
+    return bool(parts) and all(p in _fields() or p.isdigit() or _compound(p) for p in parts)
+
+
+def _compound(word: str) -> bool:
+    """Whether the word is two field words in one, as German makes them."""
+    return any(word[:i] in _fields() and word[i:] in _fields() for i in range(3, len(word) - 2))
+
+
+def _between(text: str, opener: str, closer: str, inside: re.Pattern | None) -> Iterator[tuple[int, int]]:
+    """Spans from an opening mark to the next closing one on its line, however long; each character is looked at a bounded number of times."""
+    at = text.find(opener)
+    while at >= 0:
+        start = at + len(opener)
+        close = text.find(closer, start)
+        if close < 0:
+            return
+        line = text.find("\n", start, close)
+        if line >= 0:
+            at = text.find(opener, line)
+            continue
+        if close > start and (inside is None or inside.fullmatch(text, start, close)):
+            yield at, close + len(closer)
+            start = close + len(closer)
+        at = text.find(opener, start)
 
 
 def placeholders(text: str) -> list[tuple[int, int]]:
     """Spans of unfilled template fields in the text as it is."""
-    spans = [m.span() for m in _SURE.finditer(text)]
+    spans = [s for opener, closer, inside in PAIRS if opener in text for s in _between(text, opener, closer, _INSIDE.get(inside))]
+    spans += [m.span() for m in _SURE.finditer(text)]
     spans += [m.span() for m in _MAYBE.finditer(text) if field_name(next(g for g in m.groups() if g))]
     return spans
 
@@ -109,80 +147,108 @@ def automaton():
         for phrase in phrases.replace("\n", "|").split("|"):
             if phrase:
                 found.add_word(phrase, (kind, len(phrase)))
+    for mark in OPENERS:
+        found.add_word(mark, ("open", len(mark)))
+    found.add_word("ipsum", ("latin", 5))
     for word in LATIN.split():
-        found.add_word(word, ("latin", len(word)))
+        if len(word) > 4:
+            found.add_word(word, ("latin", len(word)))
     found.make_automaton()
     return found
 
 
-def _phrases(text: str) -> list[tuple[str, int, int]]:
-    """``(kind, start, end)`` of the automaton's matches that are whole words."""
-    out, n = [], len(text)
+@cache
+def _latin() -> frozenset[str]:
+    return frozenset(LATIN.split())
+
+
+def _filler_latin(segment: str) -> bool:
+    """Whether enough of the segment's words are words of Latin-like filler, or end like them beside some that are."""
+    words = [w for w in re.split(r"[\W\d_]+", segment) if w]
+    listed = sum(w in _latin() for w in words)
+    like = sum(w in _latin() or w.endswith(LATIN_ENDS) for w in words)
+    return len(words) >= LEAST_LATIN and (listed >= max(LEAST_LATIN, COVER * len(words)) or (listed >= max(2, LISTED * len(words)) and like >= 0.9 * len(words)))
+
+
+def _matches(text: str) -> tuple[list[tuple[int, int, str]], bool, bool]:
+    """``(start, end, kind)`` of the automaton's phrases that are whole words, in the order of their ends; whether Latin-like words and opening marks are there."""
+    out, n, latin, opened = [], len(text), False, False
     for end, (kind, length) in automaton().iter(text):
+        if kind == "open":
+            opened = True
+            continue
         start, end = end + 1 - length, end + 1
         if (start == 0 or not (text[start - 1].isalnum() and text[start].isalnum())) and (end == n or not (text[end].isalnum() and text[end - 1].isalnum())):
-            out.append((kind, start, end))
-    return out
+            if kind == "latin":
+                latin = True
+            else:
+                out.append((start, end, kind))
+    return out, latin, opened
 
 
 def _weight(text: str) -> int:
     return len(_ALNUM.findall(text))
 
 
-def find_residue(text: str) -> tuple[float, list[str]]:
-    """Share of the text's letters and digits in residue, and the kinds found, sorted.
+def find_residue(text: str) -> tuple[float, float, list[str]]:
+    """Share of the text's letters and digits in residue, the greatest share in any one segment, and the kinds found, sorted.
 
-    Kinds: ``template``, ``error``, ``script``, ``filler``. A sentence is residue if phrases cover
-    at least ``COVER`` of its letters and digits or Latin-like words make up as much of its words;
-    template fields count by themselves. A text without letters and digits has coverage 0.
+    Kinds: ``template``, ``error``, ``script``, ``filler``. Segments are sentences, lines and what dashes
+    and bars part; a segment is residue if phrases cover at least ``COVER`` of its letters and
+    digits, or if it is Latin-like filler. A template field is a segment of its own. A text without
+    letters and digits has coverage 0. Runs of blanks count as one. Matches and segments are gone
+    through side by side, once.
     """
-    total = _weight(text)
+    folded = _BLANKS.sub(" ", text.casefold().replace("’", "'"))
+    found, latin, opened = _matches(folded)
     kinds: set[str] = set()
-    covered = 0
-    fields = placeholders(text) if any(c in text for c in "{[<%$#@_|«&N") or "null" in text or "undefined" in text else []
+    covered, dense = 0, 0.0
+    fields = placeholders(text) if opened else []
     if fields:
         kinds.add("template")
+        dense = 1.0
         covered += sum(_weight(text[a:b]) for a, b in fields)
-    folded = text.casefold().replace("’", "'").replace("\xa0", " ")
-    found = _phrases(folded)
-    if found and (sum(k == "latin" for k, _, _ in found) >= LEAST_LATIN or any(k != "latin" for k, _, _ in found)):
-        start = 0
-        breaks = [m.span() for m in _SENTENCE.finditer(folded)] + [(len(folded), len(folded))]
-        for a, b in breaks:
-            own = [x for x in found if start <= x[1] and x[2] <= a]
-            if own:
-                sentence = folded[start:a]
-                size = _weight(sentence)
-                phrases = sorted((s, e, k) for k, s, e in own if k != "latin")
-                reached, weight, by = start, 0, {}
-                for s, e, k in phrases:
-                    if e > reached:
-                        w = _weight(folded[max(s, reached) : e])
-                        weight, reached = weight + w, e
-                        by[k] = by.get(k, 0) + w
-                latin = sum(k == "latin" for k, _, _ in own)
-                if weight >= COVER * size and weight:
-                    kinds.add(max(by, key=by.get))
+    if found or latin:
+        found.sort()
+        start = at = 0
+        for a, b in [*(m.span() for m in _SEGMENT.finditer(folded)), (len(folded), len(folded))]:
+            first = at
+            while at < len(found) and found[at][0] < a:
+                at += 1
+            if at > first or latin:
+                segment = folded[start:a]
+                reached, by = start, {}
+                for s, e, k in found[first:at]:
+                    if e > reached and e <= a:
+                        by[k] = by.get(k, 0) + _weight(folded[max(s, reached) : e])
+                        reached = e
+                size, weight = (_weight(segment), sum(by.values())) if by or latin else (0, 0)
+                if weight and weight >= COVER * size:
+                    kinds.add(max(sorted(by), key=by.get))
                     covered += size
-                elif latin >= LEAST_LATIN and latin >= COVER * len(sentence.split()):
+                    dense = max(dense, weight / size)
+                elif latin and _filler_latin(segment):
                     kinds.add("filler")
                     covered += size
+                    dense = 1.0
             start = b
-    return (min(covered / total, 1.0) if total else 0.0), sorted(kinds)
+    total = _weight(text) if kinds else 0
+    return (min(covered / total, 1.0) if total else 0.0), dense, sorted(kinds)
 
 
 def mark_residue(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
-    """``keep`` with, for each text of ``columns``, ``coverage`` (the greatest) and ``kinds`` (all, sorted, joined by commas).
+    """``keep`` with, over the texts of ``columns``, the greatest ``coverage`` and ``dense`` (see ``find_residue``) and all ``kinds``, sorted, joined by commas.
 
-    Null and blank texts hold no residue: coverage 0.0 and kinds ''. Repeated rows are each
+    A row holds residue if ``dense`` is at least ``COVER``, alone or amid other text; by ``coverage``
+    callers exclude rows that hold little else. Null and blank texts hold none: 0.0, 0.0 and ''. Repeated rows are each
     marked; very long texts are read whole; an empty table gives none. Columns not named are not
     read. There is no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[float, list[str]]] = {}
+        known: dict[str, tuple[float, float, list[str]]] = {}
         for batch in batches:
-            shares, kinds = [], []
+            shares, dense, kinds = [], [], []
             for texts in zip(*(batch.column(f"_text{i}").to_pylist() for i in range(len(columns))), strict=True):
                 found = []
                 for t in texts:
@@ -197,9 +263,10 @@ def mark_residue(df: DataFrame, keep: list[str], columns: list[str]) -> DataFram
                             known[t] = one
                     found.append(one)
                 shares.append(max((x[0] for x in found), default=0.0))
-                kinds.append(",".join(sorted({k for x in found for k in x[1]})))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(shares, pa.float64()), pa.array(kinds, pa.string())], names=[*keep, "coverage", "kinds"])
+                dense.append(max((x[1] for x in found), default=0.0))
+                kinds.append(",".join(sorted({k for x in found for k in x[2]})))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(shares, pa.float64()), pa.array(dense, pa.float64()), pa.array(kinds, pa.string())], names=[*keep, "coverage", "dense", "kinds"])
 
     source = df.select(*keep, *[df[c].cast("string").alias(f"_text{i}") for i, c in enumerate(columns)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)])
-    return source.mapInArrow(run, f"{schema}, coverage double, kinds string")
+    return source.mapInArrow(run, f"{schema}, coverage double, dense double, kinds string")

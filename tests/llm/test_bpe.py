@@ -4,15 +4,15 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrata.llm import bpe
+from lodestrata.llm import bpe, queries
 
-VOCABULARY = Path(bpe.FOLDER) / "byte_bpe_50k.tiktoken"
+VOCABULARY = Path(queries.VOCABULARY)
 pytestmark = pytest.mark.skipif(not VOCABULARY.exists(), reason="no vocabulary here")
 
 
 @pytest.fixture(scope="module")
 def encoder():
-    return bpe.Encoder(bpe.read_ranks(VOCABULARY.read_bytes()), bpe.library_splitter())
+    return bpe.Encoder(bpe.read_ranks(VOCABULARY.read_bytes()))
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +54,6 @@ def test_segment_tree_equals_naive_merging(encoder, text):
 
 def test_column(spark):
     df = spark.createDataFrame([(1, None, "n"), (2, "", "n"), (3, "Hello world", "n"), (3, "Hello world", "n"), (None, "Hello", "n")], "doc_id bigint, text string, ids string")
-    rows = sorted(((r["doc_id"] or 0, r["ids"]) for r in bpe.encode(df, "text", ["doc_id"]).collect()), key=str)
+    rows = sorted(((r["doc_id"] or 0, r["ids"]) for r in bpe.encode(df, "text", ["doc_id"], str(VOCABULARY)).collect()), key=str)
     assert rows == [(0, [15496]), (1, []), (2, []), (3, [15496, 995]), (3, [15496, 995])]
-    assert bpe.encode(df.limit(0), "text", ["doc_id"]).count() == 0
+    assert bpe.encode(df.limit(0), "text", ["doc_id"], str(VOCABULARY)).count() == 0

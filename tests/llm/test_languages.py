@@ -53,13 +53,38 @@ def test_declared(spark, declared, code):
 
 def test_table(spark, model):
     df = spark.createDataFrame([("a", TEXTS["it"], "x"), ("b", None, "x"), ("a", TEXTS["it"], "x"), (None, "word " * 30_000, "x")], "id string, text string, lang string")
-    rows = langmix.assign_languages(df, model, "id", "text").collect()
+    rows = langmix.assign_languages(df, model, ["id"], "text").collect()
     assert [r["lang"] for r in rows if r["id"] == "a"] == ["it", "it"] and len(rows) == 4
     assert next(r for r in rows if r["id"] == "b")["lang"] is None and next(r for r in rows if r["id"] is None)["words"] == 30_000
-    assert langmix.assign_languages(df.limit(0), model, "id", "text").count() == 0
+    assert langmix.assign_languages(df.limit(0), model, ["id"], "text").count() == 0
 
 
 def test_sample_is_by_language(spark):
     df = spark.createDataFrame([(str(i), TEXTS[c], c) for i, c in enumerate(["en", "de"] * 20)], "id string, t string, l string")
     texts, labels = langmix.sample(df, "id", "t", F.col("l"), rows=100)
     assert len(texts) == 40 and set(labels) == {"en", "de"}
+
+
+@pytest.mark.parametrize("text", [
+    "Мы ищем человека, который сможет планировать работу команды и объяснять результаты нашим клиентам.",
+    "私たちはチームの仕事を計画し、結果をお客様に説明できる人を探しています。毎週報告書を書きます。",
+    "Szukamy osoby, która potrafi zaplanować pracę zespołu i wyjaśnić wyniki naszym klientom. Będziesz pisać raporty i pomagać kolegom każdego tygodnia.",
+    "Vi söker en person som kan planera gruppens arbete och förklara resultaten för våra kunder. Du skriver rapporter och hjälper dina kollegor varje vecka.",
+])
+def test_none_of_these(spark, text):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langmix.fit(*langmix.sample(docs, "doc_id", "text", langmix.declared_language(F.col("lang"))))
+    assert langmix.label_texts([text], model)[0][0][1:3] == (None, 0.0)
+    for code, own in TEXTS.items():
+        assert langmix.label_texts([own], model)[0][0][1] == code
+
+
+def test_confidence_of_short_texts_is_moderate(model):
+    (short,), (long,) = langmix.label_texts(["in die", TEXTS["de"]], model)
+    assert short[2] < long[2] <= 1
+
+
+def test_languages_are_those_of_the_labels():
+    model = langmix.fit([TEXTS["de"], TEXTS["fr"]] * 10, ["x", "y"] * 10)
+    assert [langmix.label_texts([TEXTS[c]], model)[0][0][1] for c in ("de", "fr")] == ["x", "y"]
+    assert langmix.label_texts(["some words"], langmix.fit([], [])) == [[(0, None, 0.0, 2)]]

@@ -92,3 +92,40 @@ def test_alignment_equals_plain_dynamic_programme():
                 r[i][j] = r[i - 1][j - 1] + 1 if same else 0
         score, _, longest, _ = L.align(a, b)
         assert score == max(map(max, h)) and longest == max(map(max, r))
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies with a tenth to a fifth of their words replaced, left out or doubled are found, and other texts aren't."""
+    items = [(i, [f"w{rng.randrange(900)}" for _ in range(40)]) for i in range(40)]
+    docs, true = [], set()
+    for d in range(200):
+        text = [f"w{rng.randrange(900)}" for _ in range(60)]
+        if d % 2:
+            i, own = rng.choice(items)
+            copy = []
+            for w in own:
+                kind = rng.random() if rng.random() < rng.choice((0.1, 0.15, 0.2)) else 1
+                copy += [w] if kind == 1 else [] if kind < 0.3 else [w, w] if kind < 0.5 else ["edited"]
+            text[20:20] = copy
+            true.add((d, i))
+        docs.append((d, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, item_text string")
+    rows = L.leaks(df, "doc_id", "text", it, "item_id", "item_text", edited=True).where("share >= 0.25").collect()
+    found = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert len(found & true) >= 0.9 * len(true) and len(found - true) <= 2
+
+
+def test_long_words_differ():
+    a, b = "x" * 70_000 + "a", "x" * 70_000 + "b"
+    hashes, _ = L.word_hashes([a, b, a, a[1:]])
+    assert hashes[0] == hashes[2] and len(set(hashes.tolist())) == 3
+
+
+def test_item_with_many_partners(spark):
+    """More items in one document than are aligned in a row, and items of string ids."""
+    passage = [phrase(14) for _ in range(150)]
+    df = spark.createDataFrame([("d", " ".join(passage)), ("e", passage[0])], "doc_id string, text string")
+    it = spark.createDataFrame([(f"i{n}", p) for n, p in enumerate(passage)], "item_id string, item_text string")
+    rows = L.leaks(df, "doc_id", "text", it, "item_id", "item_text").where("longest_run >= 12").collect()
+    assert len(rows) == 151 and {r["item_id"] for r in rows if r["doc_id"] == "e"} == {"i0"}

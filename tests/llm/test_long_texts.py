@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from lodestrata.llm import bpe, langmix, leakage, residue, setsketch
+from lodestrata.llm import bpe, langmix, leakage, queries, residue, setsketch
 from tests.llm.test_languages import TEXTS, model  # noqa: F401
 
 LONG = (TEXTS["en"] + " ") * 20_000  # over 3 million characters
@@ -18,7 +18,7 @@ def test_languages(model):  # noqa: F811
     endless = LONG.replace(". ", " ")
     assert langmix.label_texts([endless], model)[0][0][:2] == (0, "en")
     one = model.scores(langmix.code_points([endless[:900_000]]), np.array([0]))
-    assert one.argmax() == langmix.LANGUAGES.index("en")
+    assert one.argmax() == model.languages.index("en")
 
 
 def test_words(monkeypatch):
@@ -31,13 +31,14 @@ def test_words(monkeypatch):
 def test_sets_and_residue():
     assert setsketch.tokens(LONG) == setsketch.tokens(TEXTS["en"])
     start = time.perf_counter()
-    assert residue.find_residue(LONG + "\n{{x}}")[1] == ["template"]
-    assert residue.find_residue("{" * 200_000 + "[" * 200_000 + "_" * 200_000 + "%a" * 100_000)[1] == []
+    assert residue.find_residue(LONG + "\n{{x}}")[2] == ["template"]
+    assert residue.find_residue("{" * 200_000 + "[" * 200_000 + "_" * 200_000 + "%a" * 100_000)[2] == []
+    assert residue.find_residue("page not found. " * 50_000 + "{{" * 50_000)[2] == ["error"]
     assert time.perf_counter() - start < 30
 
 
-@pytest.mark.skipif(not (Path(bpe.FOLDER) / "byte_bpe_50k.tiktoken").exists(), reason="no vocabulary here")
+@pytest.mark.skipif(not Path(queries.VOCABULARY).exists(), reason="no vocabulary here")
 def test_encoding():
-    encoder = bpe.Encoder(bpe.read_ranks((Path(bpe.FOLDER) / "byte_bpe_50k.tiktoken").read_bytes()))
+    encoder = bpe.Encoder(bpe.read_ranks(Path(queries.VOCABULARY).read_bytes()))
     ids = encoder.encode(LONG)
     assert bpe.decode(ids, encoder.ranks) == LONG

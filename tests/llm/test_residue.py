@@ -1,6 +1,6 @@
 import pytest
 
-from lodestrata.llm.residue import field_name, find_residue, mark_residue
+from lodestrata.llm.residue import COVER, field_name, find_residue, mark_residue
 
 REAL = "You will plan the work of the team. We offer 404 days of leave and flexible hours."
 
@@ -14,8 +14,8 @@ REAL = "You will plan the work of the team. We offer 404 days of leave and flexi
     ("Lorem ipsum dolor sit amet, consectetur elit.", "filler"), ("MAGNA ELIT SED LOREM VITAE NULLA", "filler"), (f"{REAL}\n- TODO: add responsibilities", "filler"), ("qwerty qwerty qwerty 12", "filler"), ("This is a test posting, please ignore.", "filler"),
 ])
 def test_residue(text, kind):
-    coverage, kinds = find_residue(text)
-    assert kind in kinds and 0 < coverage <= 1
+    coverage, dense, kinds = find_residue(text)
+    assert kind in kinds and 0 < coverage <= 1 and dense >= COVER
 
 
 @pytest.mark.parametrize("text", [
@@ -25,7 +25,16 @@ def test_residue(text, kind):
     "«Bonjour», dit le chef.", "Sin dolor: sed y nulla no bastan.", "Join our talent pool",
 ])
 def test_real_text(text):
-    assert find_residue(text)[1] == []
+    assert find_residue(text) == (0.0, 0.0, [])
+
+
+@pytest.mark.parametrize("text,kind", [
+    ('{{ job.url | default("' + "x" * 500 + '") }}', "template"), ("(insert location)", "template"), ("[Firmenname]", "template"), ("Hello [recipient]", "template"), ("Hi XX_COMPANY_XX team", "template"),
+    ("Error 1020: this request was blocked by the security service", "error"), ("Oops! That page can't be found.", "error"), ("Bitte JavaScript im Browser erlauben", "script"), ("This content requires scripting to be on", "script"),
+    ("TBC", "filler"), ("Suspendisse potenti nulla facilisi mauris", "filler"), ("Software Engineer - Lorem ipsum", "filler"), ("Software Engineer – TBD", "filler"), (f"{REAL} Lorem  ipsum dolor\u00a0sit amet, elit sed. {REAL}", "filler"),
+])
+def test_shapes_that_were_missed_once(text, kind):
+    assert kind in find_residue(text)[2]
 
 
 def test_field_names():
