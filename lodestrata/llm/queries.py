@@ -157,6 +157,16 @@ words AS (SELECT p, unnest(s) AS x FROM sets),
 shared AS (SELECT a.p AS a, b.p AS b, count(*) AS n FROM words a JOIN words b ON a.x = b.x AND a.p < b.p GROUP BY ALL)
 SELECT h.a AS posting_id_a, h.b AS posting_id_b FROM shared h JOIN sets x ON x.p = h.a JOIN sets y ON y.p = h.b
 WHERE n >= 0.8 * (len(x.s) + len(y.s) - n)""",
+    "p3_classes": """
+WITH latest AS (SELECT posting_id, arg_max(coalesce(clean_text, ''), fetched_at) AS t FROM postings
+                WHERE snapshot_id = (SELECT max(snapshot_id) FROM postings) AND posting_id IS NOT NULL GROUP BY posting_id),
+sets AS (SELECT posting_id AS p, list_sort(list_distinct(regexp_extract_all(replace(lower(t), 'ß', 'ss'), '[\\p{L}\\p{N}_]+'))) AS s FROM latest),
+classes AS (SELECT s, min(p) AS c, count(*) AS n FROM sets GROUP BY s),
+words AS (SELECT c, unnest(s) AS x, len(s) AS k FROM classes),
+shared AS (SELECT a.c AS a, b.c AS b, a.k + b.k - count(*) AS u, count(*) AS n FROM words a JOIN words b ON a.x = b.x AND a.c <> b.c GROUP BY a.c, b.c, a.k, b.k),
+linked AS (SELECT a, count(*) AS n FROM shared WHERE n >= 0.8 * u GROUP BY a)
+SELECT p AS posting_id, c AS class, CAST(classes.n - 1 AS BIGINT) AS copies, CAST(coalesce(linked.n, 0) AS BIGINT) AS linked_classes
+FROM sets JOIN classes USING (s) LEFT JOIN linked ON linked.a = c""",
     "p8_found": rf"""
 WITH docs AS (SELECT doc_id, {_plain_words("text")} AS w FROM documents),
 items AS (SELECT item_id, {_plain_words("item_text")} AS w FROM eval_items),

@@ -248,14 +248,32 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8)
     return members.withColumnRenamed("k", key), links
 
 
+def _in_blocks(members: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``(p, class, block, blocks)`` of all members, and ``(class, blocks)``: classes beyond ``BUCKET`` rows are cut into blocks."""
+    sizes = members.groupBy("class").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"))
+    rows = members.select(F.col(key).alias("p"), "class").join(sizes, "class")
+    return rows.withColumn("block", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int")), sizes
+
+
 def all_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """``(key_a, key_b)``, smaller first: every pair of different keys that classes and links stand for."""
-    a = members.select(F.col(key).alias("p"), F.col("class").alias("class_a"))
-    b = members.select(F.col(key).alias("q"), F.col("class").alias("class_b"))
-    within = a.join(b, F.col("class_a") == F.col("class_b")).where(F.col("p") < F.col("q")).select("p", "q")
-    across = links.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").where(F.col("p") != F.col("q"))
+    """``(key_a, key_b)``, smaller first: every pair of different keys that classes and links stand for.
+
+    The blocks of a class meet each other, and those of linked classes, as rows of their own, so that
+    no task gets a great class whole.
+    """
+    rows, sizes = _in_blocks(members, key)
+    left = rows.select("class", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"), "p")
+    right = rows.select("class", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("x"), F.col("block").alias("y"), F.col("p").alias("q"))
+    within = left.join(right, ["class", "x", "y"]).where((F.col("x") < F.col("y")) | (F.col("p") < F.col("q"))).select("p", "q")
+    placed = links.select("class_a", "class_b")
+    for side, block in (("a", "x"), ("b", "y")):
+        placed = placed.join(sizes.select(F.col("class").alias(f"class_{side}"), F.col("blocks").alias(f"blocks_{side}")), f"class_{side}")
+        placed = placed.withColumn(block, F.explode(F.sequence(F.lit(0), F.col(f"blocks_{side}") - 1)))
+    a = rows.select(F.col("class").alias("class_a"), F.col("block").alias("x"), "p")
+    b = rows.select(F.col("class").alias("class_b"), F.col("block").alias("y"), F.col("p").alias("q"))
+    across = placed.join(a, ["class_a", "x"]).join(b, ["class_b", "y"]).where(F.col("p") != F.col("q")).select("p", "q")
     return (
-        within.unionByName(across.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")))
+        within.unionByName(across).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
         .distinct()
         .select(F.col("p").alias(f"{key}_a"), F.col("q").alias(f"{key}_b"))
     )
@@ -287,10 +305,10 @@ def scored_pairs(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFr
 
 
 def link_counts(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """``(key, class, copies, linked_classes)``: each row with its class, the class's other rows and its links."""
-    sizes = members.groupBy("class").agg((F.count("*") - 1).alias("copies"))
+    """``(key, class, copies, linked_classes)``: each row with its class, named by its least key, the class's other rows and its links."""
+    sizes = members.groupBy("class").agg(F.min(key).alias("_name"), (F.count("*") - 1).alias("copies"))
     ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("linked_classes"))
     return (
         members.join(sizes, "class").join(ends, "class", "left")
-        .select(key, "class", "copies", F.coalesce("linked_classes", F.lit(0).cast("bigint")).alias("linked_classes"))
+        .select(key, F.col("_name").alias("class"), "copies", F.coalesce("linked_classes", F.lit(0).cast("bigint")).alias("linked_classes"))
     )
