@@ -104,35 +104,62 @@ def occurrences(text: Column, needle: Column) -> Column:
     )
 
 
+#: Why a passage has no place, and how one was found.
+NO_PLACE = {
+    "empty": "empty evidence_text",
+    "absent": "unsupported: evidence_text does not occur in clean_text",
+    "several": ("ambiguous: evidence_text occurs ", " times and "),
+    "no context": "context not found",
+    "contexts": "context occurs more than once",
+    "outside": "evidence not inside context",
+    "repeated": "evidence repeated inside context",
+}
+PLACED = {"unique": "unique", "context": ("context (", " occurrences)"), "trimmed": ", trimmed whitespace"}
+
+
 def resolve_evidence(text: Column, evidence: Column, context: Column) -> Column:
     """``struct(start, end, resolution, reason)`` of an evidence passage in a text.
 
-    One occurrence is taken; of several the one inside a context that itself occurs once and holds
-    the evidence once. Otherwise start and end are null and ``reason`` says why. Blanks around
-    evidence and context don't count; a null is empty.
+    The places of the passage are narrowed to those that lie within the context's only place; a
+    passage with one place has it, others none, and ``reason`` says why. A passage that occurs once
+    needs no context. Blanks around evidence and context don't count; a null is empty.
     """
-    ev, ctx = F.trim(F.coalesce(evidence, F.lit(""))), F.trim(F.coalesce(context, F.lit("")))
-    hits, around, inner = occurrences(text, ev), occurrences(text, ctx), occurrences(ctx, ev)
-    n = F.size(hits)
-    by_context = (n > 1) & (F.size(around) == 1) & (F.size(inner) == 1)
-    start = F.when(n == 1, F.get(hits, F.lit(0))).when(by_context, F.get(around, F.lit(0)) + F.get(inner, F.lit(0)))
-    why = (
-        F.when(F.size(around) == 0, "context not found")
-        .when(F.size(around) > 1, "context occurs more than once")
-        .when(F.size(inner) == 0, "evidence not inside context")
-        .otherwise("evidence repeated inside context")
-    )
-    reason = (
-        F.when(ev == "", "empty evidence_text")
-        .when(n == 0, "unsupported: evidence_text does not occur in clean_text")
-        .when(start.isNull(), F.concat(F.lit("ambiguous: evidence_text occurs "), n.cast("string"), F.lit(" times and "), why))
-    )
-    how = F.when(n == 1, F.lit("unique")).otherwise(F.concat(F.lit("context ("), n.cast("string"), F.lit(" occurrences)")))
-    trimmed = F.when(ev != F.coalesce(evidence, F.lit("")), ", trimmed whitespace").otherwise("")
-    return F.struct(
-        start.alias("start"), (start + F.length(ev)).alias("end"),
-        F.when(reason.isNull(), F.concat(how, trimmed)).alias("resolution"), reason.alias("reason"),
-    )
+    wanted, frame = (F.trim(F.coalesce(c, F.lit(""))) for c in (evidence, context))
+    places, frames = occurrences(text, wanted), occurrences(text, frame)
+    last = F.get(frames, F.lit(0)) + F.length(frame) - F.length(wanted)
+    within = F.when(F.size(frames) == 1, F.filter(places, lambda p: p.between(F.get(frames, F.lit(0)), last))).otherwise(F.array().cast("array<int>"))
+    chosen = F.when(F.size(places) == 1, places).otherwise(within)
+    start = F.when(F.size(chosen) == 1, F.get(chosen, F.lit(0)))
+    doubt = F.when(F.size(frames) == 0, NO_PLACE["no context"]).when(F.size(frames) > 1, NO_PLACE["contexts"]).when(F.size(within) == 0, NO_PLACE["outside"]).otherwise(NO_PLACE["repeated"])
+    count = F.size(places).cast("string")
+    reason = F.when(wanted == "", NO_PLACE["empty"]).when(F.size(places) == 0, NO_PLACE["absent"]).when(start.isNull(), F.concat(F.lit(NO_PLACE["several"][0]), count, F.lit(NO_PLACE["several"][1]), doubt))
+    found = F.when(F.size(places) == 1, PLACED["unique"]).otherwise(F.concat(F.lit(PLACED["context"][0]), count, F.lit(PLACED["context"][1])))
+    how = F.when(start.isNotNull(), F.concat(found, F.when(wanted.eqNullSafe(evidence) | evidence.isNull(), "").otherwise(PLACED["trimmed"])))
+    return F.struct(start.alias("start"), (start + F.length(wanted)).alias("end"), how.alias("resolution"), reason.alias("reason"))
+
+
+def nth_occurrence(text: Column, needle: Column, n: Column | int) -> Column:
+    """Zero-based start of the n-th occurrence, from 1, overlapping ones counted; null if there are fewer."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.get(occurrences(text, needle), n - 1)
+
+
+#: What tells a place in the United States.
+IN_US = r"\bUS\b|United States|, [A-Z]{2}\b|California|Remote - United States"
+
+
+def outside_us(location: Column) -> Column:
+    """Whether a location names no place in the United States; an unknown one names none."""
+    return ~F.coalesce(location, F.lit("")).rlike(IN_US)
+
+
+def several_places(location: Column) -> Column:
+    """Whether a location lists more than one place."""
+    return F.coalesce(location, F.lit("")).rlike(";|•")
+
+
+def is_remote(location: Column) -> Column:
+    return F.contains(F.lower(F.coalesce(location, F.lit(""))), F.lit("remote"))
 
 
 def span_holds(text: Column, start: Column, end: Column, evidence: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.functions.html import html_to_text as _html
-from lodestrata.functions.jsonschema import document_errors
+from lodestrata.functions.jsonschema import Schema
 
 
 @F.pandas_udf(T.StringType())
@@ -50,8 +50,8 @@ def schema_errors_udf(schema: dict):
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def errors(document: pd.Series) -> pd.Series:
-        parsed = json.loads(text)
-        return document.map(lambda d: document_errors(d if isinstance(d, str) else None, parsed))
+        compiled = Schema(json.loads(text))
+        return document.map(lambda d: compiled.errors_of_text(d if isinstance(d, str) else None))
 
     return errors
 

@@ -43,6 +43,21 @@ def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``(by, n, median)``: the linear median of each group."""
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.median(value).alias("median"))
+
+
+def rates(df: DataFrame, flags: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """``(by, rows, name...)``: the share of rows for which each flag holds; a null flag counts as no row."""
+    return df.groupBy(*(by or [])).agg(F.count("*").alias("rows"), *[F.avg(c.cast("double")).alias(n) for n, c in flags.items()])
+
+
+def pair_counts(pairs: DataFrame, by: list[str], alike: Column, similarity: str) -> DataFrame:
+    """``(by, pairs, alike, least)``: how many pairs, how many of them alike, and the least similarity."""
+    return pairs.groupBy(*by).agg(F.count("*").alias("pairs"), conditional("alike", alike), F.min(similarity).alias("least"))
+
+
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and linear percentiles."""
     v = F.col(value)
@@ -122,7 +137,7 @@ def as_metrics(df: DataFrame, name: str = "metrics") -> DataFrame:
 
 
 def digest_of(df: DataFrame, name: str, sha: str) -> DataFrame:
-    """One SHA-256 over the sorted names and hashes of a file list (small by nature)."""
+    """One SHA-256 over the sorted names and hashes of a file list. One value of one text: lists of files are small by nature, other tables shouldn't be digested so."""
     lines = F.array_sort(F.collect_list(F.concat_ws("\t", name, sha)))
     return df.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
 

@@ -15,6 +15,12 @@ def check_spans(spans: DataFrame, texts: DataFrame, keys: list[str], text: str =
     return joined.withColumn("span_ok", X.span_holds(F.col("_text"), F.col("evidence_start"), F.col("evidence_end"), F.col("evidence_text"))).drop("_text")
 
 
+#: Why a stated item isn't accepted, and why an alternative group doesn't hold.
+NO_STATEMENT, STATED_BEFORE = "empty skill_statement", "duplicate skill_statement in this posting"
+NO_GROUP = {"small": "fewer than two members", "mixed": "members have different requirement_status", "example": "contains illustrative examples"}
+GROUP_DROPPED = ("alternative group '", "' dropped: ")
+
+
 def statement_rows(output: DataFrame, key: str, text: str, skills: str) -> DataFrame:
     """One row for each item of a model's output, placed in the text: ``start, end, resolution, reason``.
 
@@ -27,9 +33,9 @@ def statement_rows(output: DataFrame, key: str, text: str, skills: str) -> DataF
         F.col("s.mention_relation").alias("mention_relation"), F.trim("s.alternative_group").alias("alternative_group"),
         X.resolve_evidence(F.col("_text"), F.col("s.evidence_text"), F.col("s.evidence_context")).alias("r"),
     )
-    first = flat.withColumn("reason", F.when(F.coalesce("statement", F.lit("")) == "", "empty skill_statement").otherwise(F.col("r.reason")))
+    first = flat.withColumn("reason", F.when(F.coalesce("statement", F.lit("")) == "", NO_STATEMENT).otherwise(F.col("r.reason")))
     same = Window.partitionBy(key, F.lower("statement"), F.col("reason").isNull()).orderBy("model_index")
-    judged = first.withColumn("reason", F.coalesce("reason", F.when(F.row_number().over(same) > 1, "duplicate skill_statement in this posting")))
+    judged = first.withColumn("reason", F.coalesce("reason", F.when(F.row_number().over(same) > 1, STATED_BEFORE)))
     order = Window.partitionBy(key).orderBy("model_index")
     ordinal = F.count_if(F.col("reason").isNull()).over(order) - 1
     return judged.select(
@@ -44,10 +50,10 @@ def drop_bad_alternatives(rows: DataFrame, key: str) -> DataFrame:
     groups = rows.where("alternative_group IS NOT NULL").groupBy(key, "alternative_group").agg(
         F.count("*").alias("n"), F.countDistinct(F.coalesce("requirement_status", F.lit(""))).alias("r"), F.max(F.col("mention_relation") == "illustrative_example").alias("e")
     )
-    problem = F.when(F.col("n") < 2, "fewer than two members").when(F.col("r") > 1, "members have different requirement_status").when(F.col("e"), "contains illustrative examples")
+    problem = F.when(F.col("n") < 2, NO_GROUP["small"]).when(F.col("r") > 1, NO_GROUP["mixed"]).when(F.col("e"), NO_GROUP["example"])
     bad = groups.select(key, "alternative_group", problem.alias("_p")).where("_p IS NOT NULL")
     joined = rows.join(bad, [key, "alternative_group"], "left")
-    return joined.withColumn("warning", F.when(F.col("_p").isNotNull(), F.concat(F.lit("alternative group '"), "alternative_group", F.lit("' dropped: "), "_p"))).withColumn(
+    return joined.withColumn("warning", F.when(F.col("_p").isNotNull(), F.concat(F.lit(GROUP_DROPPED[0]), "alternative_group", F.lit(GROUP_DROPPED[1]), "_p"))).withColumn(
         "alternative_group", F.when(F.col("_p").isNull(), F.col("alternative_group"))
     ).drop("_p")
 
@@ -120,15 +126,18 @@ def segments(spans: DataFrame, texts: DataFrame, keys: list[str], text: str = "c
 #: What annotation fields may hold.
 REQUIREMENTS = ("required", "preferred", "unclear")
 STATUSES = ("not_started", "in_progress", "reviewed")
+CATEGORIES = ("technical", "soft", "language", "domain")
 
 
-def annotation_problems(skills: DataFrame, texts: DataFrame, selected: DataFrame | None = None, snapshot_id: str | None = None, requirements: tuple[str, ...] = REQUIREMENTS) -> DataFrame:
+def annotation_problems(skills: DataFrame, texts: DataFrame, selected: DataFrame | None = None, snapshot_id: str | None = None, requirements: tuple[str, ...] = REQUIREMENTS, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """``(annotation_id, field, problem)`` of annotation rows, one for each rule that a row breaks.
 
     Rules: a posting of the selection and snapshot (where given), an id that is there and used once,
-    a statement, a known requirement, an annotator, offsets within the text, the text there, no
-    blanks at its ends, no statement and span twice, and a well-formed alternative group. A row
-    whose posting has no text is checked for everything but its span.
+    a statement, a known requirement and category, an annotator, offsets within the text, the text
+    there, no blanks at its ends, no statement and span twice, and an alternative group that is well
+    formed, has two members at least, all of one posting and requirement and of different skills. A row
+    whose posting has no text is checked for everything but its span; columns that the table lacks
+    aren't checked. Where rows have a ``source_row``, it comes with the problem.
     """
     rows = skills.join(texts.select("snapshot_id", "posting_id", F.col("clean_text").alias("_text")), ["snapshot_id", "posting_id"], "left")
     if selected is not None:
@@ -151,8 +160,52 @@ def annotation_problems(skills: DataFrame, texts: DataFrame, selected: DataFrame
         ("evidence_text", inside & (c("evidence_text") != F.trim("evidence_text")), "blanks at its ends"),
         ("skill_statement", ~blank("skill_statement") & c("evidence_start").isNotNull() & (c("_spans") > 1), "recorded twice for a span"),
     ]
+    if "skill_category" in skills.columns:
+        rules.append(("skill_category", ~blank("skill_category") & ~c("skill_category").isin(*categories), "unknown value"))
+    has_group = ~blank("alternative_group_id")
+    groups = rows.where(has_group).groupBy("alternative_group_id").agg(
+        F.count("*").alias("_n"), F.countDistinct("posting_id").alias("_postings"), F.countDistinct(F.coalesce("required_or_preferred", F.lit(""))).alias("_requirements"),
+        F.countDistinct(F.lower(F.trim("skill_statement"))).alias("_skills"), F.count("skill_statement").alias("_stated"),
+    )
+    counted = counted.join(groups, "alternative_group_id", "left")
+    rules += [
+        ("alternative_group_id", has_group & (c("_n") < 2), "only one member"), ("alternative_group_id", has_group & (c("_postings") > 1), "used in several postings"),
+        ("required_or_preferred", has_group & (c("_requirements") > 1), "mixed in an alternative group"), ("skill_statement", has_group & (c("_skills") < c("_stated")), "twice in an alternative group"),
+    ]
+    return _broken(counted, ["annotation_id"], rules)
+
+
+def _broken(rows: DataFrame, keys: list[str], rules: list) -> DataFrame:
+    """``(keys, field, problem)`` for each ``(field, test, problem)`` that a row meets, with its ``source_row`` if it has one."""
     found = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(p).alias("problem"))) for f, test, p in rules]))
-    return counted.select("annotation_id", F.explode(found).alias("p")).select("annotation_id", "p.field", "p.problem")
+    kept = [*keys, *[c for c in ("source_row",) if c in rows.columns]]
+    return rows.select(*kept, F.explode(found).alias("p")).select(*kept, "p.field", "p.problem")
+
+
+def review_problems(reviews: DataFrame, selected: DataFrame, skills: DataFrame, snapshot_id: str | None = None) -> DataFrame:
+    """``(posting_id, field, problem)`` of the review rows of postings, and of selected postings without one.
+
+    reviews: ``posting_id, split, review_status, annotator_id, reviewed_at`` and, where a snapshot is
+    given, ``snapshot_id``. Rules: a selected posting, listed once, of the selection's split and snapshot,
+    a known status; a reviewed one has an annotator and an ISO date, one not started no annotations.
+    """
+    c = F.col
+    blank = lambda n: F.coalesce(F.trim(c(n)), F.lit("")) == ""
+    has = skills.select("posting_id", F.lit(True).alias("_skills")).distinct()
+    chosen = selected.select("posting_id", F.col("split").alias("_split"), F.lit(True).alias("_selected"))
+    rows = reviews.withColumn("_times", F.count("*").over(Window.partitionBy("posting_id"))).join(chosen, "posting_id", "left").join(has, "posting_id", "left")
+    reviewed = c("review_status") == "reviewed"
+    rules = [
+        ("posting_id", c("_selected").isNull(), "not selected"), ("posting_id", c("_times") > 1, "listed more than once"), ("split", c("_selected") & ~c("split").eqNullSafe(c("_split")), "another split"),
+        ("review_status", ~F.coalesce(c("review_status").isin(*STATUSES), F.lit(False)), "unknown value"), ("annotator_id", reviewed & blank("annotator_id"), "missing on a reviewed posting"),
+        ("reviewed_at", reviewed & ~F.coalesce(c("reviewed_at").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date("reviewed_at").isNotNull(), F.lit(False)), "no ISO date"),
+        ("posting_id", (c("review_status") == "not_started") & c("_skills"), "annotated but not started"),
+    ]
+    if snapshot_id:
+        rules.append(("snapshot_id", ~c("snapshot_id").eqNullSafe(F.lit(snapshot_id)), "another snapshot"))
+    broken = _broken(rows, ["posting_id"], rules)
+    missing = selected.select("posting_id").distinct().join(reviews, "posting_id", "left_anti").select("posting_id", F.lit("posting_id").alias("field"), F.lit("selected but missing").alias("problem"))
+    return broken.unionByName(missing, allowMissingColumns=True)
 
 
 def review_progress(reviews: DataFrame, skills: DataFrame) -> DataFrame:

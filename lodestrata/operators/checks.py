@@ -70,3 +70,10 @@ def require_empty(df: DataFrame, what: str, show: int = 3) -> None:
     rows = df.limit(show).collect()
     if rows:
         raise CheckFailed(f"{what}: {[r.asDict() for r in rows]}")
+
+
+def unsettled(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``(keys, column, values)`` of those columns that should hold one value for each key and hold several, or none."""
+    one = df.groupBy(*keys).agg(*[F.countDistinct(c).alias(c) for c in columns])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("values")) for c in columns]))
+    return one.select(*keys, pairs.alias("p")).select(*keys, "p.*").where("values <> 1")

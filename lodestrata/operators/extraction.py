@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestrata.functions.jsonschema import schema_errors
 from lodestrata.functions.text import cache_key
+from lodestrata.functions.udfs import schema_errors_udf
+from lodestrata.operators.checks import CheckFailed
+from lodestrata.sinks import publish
 
 
 def with_keys(postings: DataFrame, **fixed: str) -> DataFrame:
@@ -53,43 +53,75 @@ def complete(requests: DataFrame, backend: Callable[[str], dict]) -> DataFrame:
     return requests.select("posting_id", "cache_key", "prompt").mapInPandas(run, "posting_id string, cache_key string, body string, stop_reason string, input_tokens bigint, output_tokens bigint")
 
 
+#: How a call may stop, and what that means for its result; other stops are unexpected.
+STOPS = {"end_turn": None, "refusal": "refusal", "max_tokens": "truncated"}
+
+
 def judge(responses: DataFrame, schema: dict) -> DataFrame:
-    """Adds ``status`` (``ok``, ``zero_skills`` or ``failed``) and ``problem``: refusal, truncation, unexpected stop, no text, invalid JSON, schema errors, or an empty list without a reason."""
-    @F.pandas_udf(T.StringType())
-    def problem(stop: pd.Series, body: pd.Series) -> pd.Series:
-        out = []
-        for s, b in zip(stop, body, strict=True):
-            if s == "refusal":
-                out.append("refusal")
-            elif s == "max_tokens":
-                out.append("truncated")
-            elif s != "end_turn":
-                out.append(f"unexpected stop: {s}")
-            elif not isinstance(b, str) or not b.strip():
-                out.append("no text")
-            else:
-                try:
-                    data = json.loads(b)
-                except ValueError:
-                    out.append("invalid JSON")
-                    continue
-                errors = schema_errors(data, schema)
-                if errors:
-                    out.append("; ".join(errors[:3]))
-                elif not data.get("skills") and not (data.get("no_skills_reason") or "").strip():
-                    out.append("no skills and no reason")
-                else:
-                    out.append(None)
-        return pd.Series(out, dtype="object")
-
-    judged = responses.withColumn("problem", problem("stop_reason", "body"))
-    empty = F.coalesce(F.json_array_length(F.get_json_object("body", "$.skills")), F.lit(0)) == 0
-    return judged.withColumn("status", F.when(F.col("problem").isNotNull(), "failed").when(empty, "zero_skills").otherwise("ok"))
+    """Adds ``status`` (``ok``, ``zero_skills`` or ``failed``) and ``problem``: refusal, truncation, unexpected stop, no text, invalid JSON, schema errors, or an empty list without a reason.
+
+    Stops and blank bodies are told in the JVM; only finished bodies are parsed against the schema, in Arrow batches.
+    """
+    errors = schema_errors_udf(schema)
+    stop, body = F.col("stop_reason"), F.col("body")
+    known = F.coalesce(*[F.when(stop == k, F.lit(v)) for k, v in STOPS.items() if v], F.when(F.coalesce(stop != "end_turn", F.lit(True)), F.concat(F.lit("unexpected stop: "), F.coalesce(stop, F.lit("None")))))
+    told = responses.withColumn("_stop", F.coalesce(known, F.when(F.trim(F.coalesce(body, F.lit(""))) == "", "no text")))
+    parsed = told.withColumn("_errors", errors(F.when(F.col("_stop").isNull(), body)))
+    items = F.coalesce(F.json_array_length(F.get_json_object("body", "$.skills")), F.lit(0))
+    why = F.trim(F.coalesce(F.get_json_object("body", "$.no_skills_reason"), F.lit("")))
+    broken = F.when(F.col("_stop").isNull() & (F.size("_errors") > 0), F.regexp_replace(F.array_join(F.slice("_errors", 1, 3), "; "), r"^\$: invalid JSON$", "invalid JSON"))
+    problem = F.coalesce("_stop", broken, F.when((items == 0) & (why == ""), "no skills and no reason"))
+    return parsed.withColumn("problem", problem).withColumn("status", F.when(F.col("problem").isNotNull(), "failed").when(items == 0, "zero_skills").otherwise("ok")).drop("_stop", "_errors")
 
 
 def run_totals(judged: DataFrame) -> DataFrame:
-    """One row: postings by status and tokens, missing ones as 0."""
+    """One row: postings by status, attempts and cache hits where the rows have them, and tokens, missing ones as 0."""
+    extra = [F.sum(F.coalesce(F.size("attempts"), F.lit(0))).alias("attempts")] if "attempts" in judged.columns else []
+    extra += [F.count_if("cache_hit").alias("cache_hits")] if "cache_hit" in judged.columns else []
     return judged.agg(
+        *extra,
         *[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "zero_skills", "failed")],
         *[F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens")],
     )
+
+
+def request_params(model: str, most_tokens: int, system: str, prompt: str = "prompt"):
+    """The request of a prompt column as JSON: fields in a fixed order, so that equal requests are equal texts."""
+    return F.to_json(F.struct(
+        F.lit(most_tokens).alias("max_tokens"), F.array(F.struct(F.col(prompt).alias("content"), F.lit("user").alias("role"))).alias("messages"), F.lit(model).alias("model"), F.lit(system).alias("system"),
+    ))
+
+
+def store_responses(responses: DataFrame, path: str) -> int:
+    """Add responses to the history at ``path``; nothing is ever overwritten. Returns their number."""
+    return publish.append(responses, path)
+
+
+def latest_responses(history: DataFrame) -> DataFrame:
+    """The cache that a history of responses stands for: the newest of each ``cache_key`` by ``received_at``, ties by ``posting_id``."""
+    order = F.struct("received_at", "posting_id")
+    return history.groupBy("cache_key").agg(F.max_by(F.struct(*history.columns), order).alias("r")).select("r.*")
+
+
+def store_run(path: str, statements: DataFrame, postings: DataFrame) -> None:
+    """Append a part of a run: its statements first, its posting rows last, so that a posting row marks what is complete."""
+    publish.append(statements, f"{path}/statements")
+    publish.append(postings, f"{path}/postings")
+
+
+def resume(requests: DataFrame, path: str, meta: dict[str, str]) -> tuple[DataFrame, DataFrame | None]:
+    """``(requests still to make, statements that count)`` of the run at ``path``.
+
+    The run's postings carry ``meta`` (model, prompt and schema versions); another value is an error,
+    as such rows can't be added to. Statements of postings that weren't completed don't count.
+    """
+    spark = requests.sparkSession
+    if not publish.exists(spark, f"{path}/postings"):
+        return requests, None
+    done = spark.read.parquet(f"{path}/postings")
+    other = done.where(" OR ".join(f"NOT (`{k}` <=> '{v}')" for k, v in meta.items())).limit(1).collect()
+    if other:
+        raise CheckFailed(f"the run was made with {({k: other[0][k] for k in meta})}, not {meta}")
+    complete_ones = done.where(F.col("status").isin("ok", "zero_skills")).select("posting_id").distinct()
+    kept = spark.read.parquet(f"{path}/statements").join(complete_ones, "posting_id", "left_semi") if publish.exists(spark, f"{path}/statements") else None
+    return remaining(requests, done), kept

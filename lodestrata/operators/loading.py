@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestrata.operators.checks import CheckFailed, duplicate_keys, require_empty
@@ -55,3 +57,60 @@ def check_frozen(derived: DataFrame, frozen: DataFrame) -> None:
     rest = frozen_difference(derived, frozen)
     if not rest.isEmpty():
         raise CheckFailed(f"the derived table differs from the frozen one: {rest.limit(3).collect()}")
+
+
+LEDGER = "import_id string, version string, language string, digest string, tables string"
+
+
+def prior_imports(ledger: DataFrame, **where: str) -> DataFrame:
+    """The ledger's rows with these values."""
+    for column, value in where.items():
+        ledger = ledger.where(F.col(column).eqNullSafe(F.lit(value)))
+    return ledger
+
+
+def import_tables(tables: dict[str, DataFrame], path: str, version: str, language: str, digest: str, problems: dict[str, DataFrame] | None = None) -> dict[str, int] | None:
+    """Import several tables under one version, all or none; the rows of each, or None if this very import is there.
+
+    problems: tables that must be empty, by what their rows would mean; they are looked at before
+    anything is written. Every table goes to its own folder of the import, and the ledger row comes
+    last: readers take only imports of the ledger (``imported``), so a failed import is never seen
+    and its left-over folders are replaced by the next try. The same version with other language
+    or content is an error, and so is content that is there under another version.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    ledger_path = f"{path.rstrip('/')}/imports"
+    if publish.exists(spark, ledger_path):
+        ledger = spark.read.schema(LEDGER).parquet(ledger_path)
+        same = prior_imports(ledger, version=version).collect()
+        if any((r["language"], r["digest"]) != (language, digest) for r in same):
+            raise CheckFailed(f"version {version} is there with another language or content")
+        if same:
+            return None
+        require_empty(prior_imports(ledger, digest=digest), "the same content is there under another version")
+    for what, rows in (problems or {}).items():
+        require_empty(rows, what)
+    import_id = f"{version}-{language}"
+    counts = {}
+    for name, df in tables.items():
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}/import_id={import_id}")
+        counts[name] = seen.get["rows"]
+    publish.append(spark.createDataFrame([(import_id, version, language, digest, json.dumps(counts))], LEDGER), ledger_path)
+    return counts
+
+
+def imported(spark, path: str, name: str) -> DataFrame:
+    """A table's rows of all completed imports, with ``import_id``."""
+    ledger = spark.read.schema(LEDGER).parquet(f"{path.rstrip('/')}/imports").select("import_id").distinct()
+    return spark.read.option("basePath", f"{path.rstrip('/')}/{name}").parquet(f"{path.rstrip('/')}/{name}").join(ledger, "import_id", "left_semi")
+
+
+def require_version(spark, path: str, version: int) -> None:
+    """Mark a new warehouse folder with its schema's version; one that is there must have the same."""
+    marker = f"{path.rstrip('/')}/schema_version"
+    if not publish.exists(spark, marker):
+        publish.append(spark.createDataFrame([(version,)], "version int"), marker)
+    found = [r[0] for r in spark.read.schema("version int").parquet(marker).distinct().collect()]
+    if found != [version]:
+        raise CheckFailed(f"the warehouse has schema version {found}, not {version}")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.analytics import facets
+from lodestrata.storage import cut
 
 
 def filtered(df: DataFrame, equal: dict[str, str] | None = None, state: str = "", reason: str = "exclusion_reason", contains: dict[str, str] | None = None) -> DataFrame:
@@ -52,6 +53,44 @@ def visible(df: DataFrame, hidden: DataFrame, key: str = "posting_id") -> DataFr
     return df.join(hidden, key, "left_anti")
 
 
+def refusals(wanted: DataFrame, known: DataFrame, hidden: DataFrame, key: str = "posting_id") -> DataFrame:
+    """``(key, reason)`` of wanted ids that can't be given: ``unknown`` or ``held out``; each once. Nulls are unknown."""
+    there = known.select(F.col(key), F.lit(True).alias("_there")).distinct()
+    held = hidden.select(F.col(key), F.lit(True).alias("_held")).distinct()
+    joined = wanted.select(key).distinct().join(there, key, "left").join(held, key, "left")
+    return joined.select(key, F.when(F.col("_there").isNull(), "unknown").when(F.col("_held"), "held out").alias("reason")).where("reason IS NOT NULL")
+
+
+def numbered(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """``df`` with each row's place in a total order, from 1.
+
+    The rows are cut into ranges of the order, numbered in each, and each range is moved on by the
+    rows of those before it; no task sees more than a range. ``order``: columns that make it total.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    # As many rows as there are partitions.
+    moved = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(moved, "_range").withColumn(name, F.col("_before") + own).drop("_range", "_before")
+
+
+def first_ids(df: DataFrame, key: str, most: int | None) -> DataFrame:
+    """The sorted ids, the first ``most`` of them where that is given; fewer than one is an error."""
+    if most is not None and most < 1:
+        raise ValueError("at least one row must be asked for")
+    rows = df.select(key).orderBy(key)
+    return rows if most is None else rows.limit(most)
+
+
+def sql_rows(statement: str, args: dict, **tables: DataFrame) -> DataFrame:
+    """A read-only statement with named parameters over tables by name. Only queries are taken."""
+    if not statement.lstrip().lower().startswith(("select", "with")):
+        raise ValueError("only queries are read")
+    spark = next(iter(tables.values())).sparkSession
+    return spark.sql(statement, args=args, **tables)
+
+
 def overview(df: DataFrame, columns: list[str]) -> DataFrame:
     """The different values that a filter form offers."""
     return facets(df, columns)

@@ -35,30 +35,40 @@ def quotas(capacity: dict[str, int], total: int) -> dict[str, int]:
     return seats
 
 
-def largest_remainder(weights: DataFrame, key: str, weight: str, total: int, by: list[str] | None = None) -> DataFrame:
-    """``(by, key, seats)``: ``total`` seats in proportion to the weights, odd ones to the largest remainders, ties by key. Whole-number arithmetic."""
+def largest_remainder(weights: DataFrame, key: str, weight: str, total: int, by: list[str] | None = None, least: int = 0) -> DataFrame:
+    """``(by, key, seats)``: ``total`` seats in proportion to the weights, odd ones to the largest remainders, ties by key. Whole-number arithmetic.
+
+    least: seats that every key gets beforehand; where they would be more than ``total``, none.
+    """
     w = Window.partitionBy(*(by or [F.lit(1)]))
-    exact = F.col(weight).cast("bigint") * total
-    parts = weights.withColumn("_sum", F.sum(weight).over(w).cast("bigint")).withColumn("_floor", F.floor(exact / F.col("_sum")).cast("bigint")).withColumn("_rest", exact - F.col("_floor") * F.col("_sum"))
+    sized = weights.withColumn("_least", F.when(F.count("*").over(w) * least <= total, least).otherwise(0).cast("bigint"))
+    sized = sized.withColumn("_left", F.lit(total) - F.sum("_least").over(w))
+    exact = F.col(weight).cast("bigint") * F.col("_left")
+    parts = sized.withColumn("_sum", F.sum(weight).over(w).cast("bigint")).withColumn("_floor", F.floor(exact / F.col("_sum")).cast("bigint")).withColumn("_rest", exact - F.col("_floor") * F.col("_sum"))
     order = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("_rest"), key)
-    given = F.lit(total) - F.sum("_floor").over(w)
-    return parts.withColumn("_n", F.row_number().over(order)).select(*(by or []), key, (F.col("_floor") + F.when(F.col("_n") <= given, 1).otherwise(0)).cast("bigint").alias("seats"))
+    given = F.col("_left") - F.sum("_floor").over(w)
+    placed = parts.withColumn("_given", given).withColumn("_n", F.row_number().over(order))
+    return placed.select(*(by or []), key, (F.col("_least") + F.col("_floor") + F.when(F.col("_n") <= F.col("_given"), 1).otherwise(0)).cast("bigint").alias("seats"))
+
+
+#: Steps of the seeded order, by which it is cut where a stratum has its seats.
+STEPS = 4096
 
 
 def draw(df: DataFrame, stratum: str, key: str, seats: DataFrame, seed: int) -> DataFrame:
     """The first rows of each stratum in the seeded order, as many as its ``seats``.
 
-    Rows that can't be among them are dropped before the window by the order's own threshold: of
-    uniform keys the n-th smallest lies near n/size, so a bound well above it keeps all winners;
-    strata for which it wouldn't are kept whole.
+    The order is cut into ``STEPS`` steps. How many rows each step of a stratum holds is counted, which
+    says exactly in which step the last seat lies; rows of later steps are dropped before the window.
+    So the window sorts little more than the winners, and none of them can be lost.
     """
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("_size")).join(seats, stratum)
-    keyed = df.withColumn("_h", seeded(seed, key)).join(sizes, stratum)
-    share = F.col("seats") / F.col("_size")
-    bound = share + 10 * F.sqrt(share / F.col("_size")) + F.lit(40.0) / F.col("_size")
-    place = F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+    step = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
+    keyed = df.withColumn("_h", seeded(seed, key)).withColumn("_step", step)
+    counts = keyed.groupBy(stratum, "_step").agg(F.count("*").alias("_rows")).join(seats, stratum)
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(stratum).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = counts.withColumn("_before", before).where(F.col("_before") < F.col("seats")).groupBy(stratum).agg(F.max("_step").alias("_last"), F.max("seats").alias("seats"))
     w = Window.partitionBy(stratum).orderBy("_h", key)
-    return keyed.where(place <= bound).withColumn("_n", F.row_number().over(w)).where("_n <= seats").drop("_h", "_n", "_size", "seats")
+    return keyed.join(reached, stratum).where(F.col("_step") <= F.col("_last")).withColumn("_n", F.row_number().over(w)).where("_n <= seats").drop("_h", "_n", "_step", "_last", "seats")
 
 
 def representatives(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
@@ -66,39 +76,60 @@ def representatives(df: DataFrame, group: str, key: str, seed: int) -> DataFrame
     return df.groupBy(group).agg(F.min(F.struct(seeded(seed, key).alias("h"), F.col(key).alias("k"))).alias("m")).select(group, F.col("m.k").alias(key))
 
 
+def pairs_across_groups(pairs: DataFrame, members: DataFrame, key: str, group: str, a: str = "posting_id_a", b: str = "posting_id_b") -> DataFrame:
+    """The pairs whose ends stand in different groups, with both groups; an end without a group is in none."""
+    of = lambda end: members.select(F.col(key).alias(end), F.col(group).alias(f"{end}_group"))
+    return pairs.join(of(a), a, "left").join(of(b), b, "left").where(~F.col(f"{a}_group").eqNullSafe(F.col(f"{b}_group")))
+
+
 def leaking_groups(df: DataFrame, group: str, split: str) -> DataFrame:
     """Groups whose rows stand in more than one split."""
     return df.groupBy(group).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
 
 
-def select_set(df: DataFrame, key: str, stratum: str, group: str, total: int, development: int, seed: int) -> DataFrame:
+def select_set(df: DataFrame, key: str, stratum: str, group: str, total: int, development: int, seed: int, cell: str | None = None, variety: str | None = None) -> DataFrame:
     """``(key, group, stratum, split)``: one representative of each of ``total`` groups, balanced over strata, ``development`` of them as such, the rest for evaluation.
 
-    Strata are few (their counts come to the driver); all else is distributed.
+    A stratum's seats go to its cells in proportion to their rows, one at least where they suffice;
+    what a cell has no rows for goes to those with most room. Within a cell the draw spreads over
+    ``variety``. Strata and cells are few (their counts come to the driver); all else is distributed.
     """
-    heads = representatives(df, group, key, seed).join(df.select(key, stratum), key)
-    capacity = {r[0]: r[1] for r in heads.groupBy(stratum).count().collect()}
-    seats = quotas(capacity, total)
     spark = df.sparkSession
-    as_table = lambda d: spark.createDataFrame(list(d.items()), f"`{stratum}` string, seats int")
-    chosen = draw(heads, stratum, key, as_table(seats), seed)
+    heads = representatives(df, group, key, seed).join(df.select(key, stratum, *[c for c in (cell, variety) if c]), key)
+    heads = heads.withColumn("_cell", F.to_json(F.struct(F.col(stratum).alias("s"), (F.coalesce(F.col(cell).cast("string"), F.lit("")) if cell else F.lit("")).alias("c"))))
+    heads = heads.withColumn("_variety", F.coalesce(F.col(variety).cast("string"), F.lit("")) if variety else F.lit(""))
+    sizes = heads.groupBy(stratum, "_cell").count().collect()
+    capacity: dict = {}
+    for r in sizes:
+        capacity[r[0]] = capacity.get(r[0], 0) + r[2]
+    seats = quotas(capacity, total)
+    cells: dict[str, int] = {}
+    for name, wanted in seats.items():
+        room = {r[1]: r[2] for r in sizes if r[0] == name}
+        frame = spark.createDataFrame([(k, n) for k, n in room.items()], "cell string, n bigint")
+        given = {r["cell"]: r["seats"] for r in largest_remainder(frame, "cell", "n", wanted, least=1).collect()} if len(room) > 1 else dict.fromkeys(room, wanted)
+        cells |= overflow(given, room)
+    as_table = lambda d, c: spark.createDataFrame(list(d.items()), f"`{c}` string, seats int")
+    chosen = diverse_draw(heads, "_cell", "_variety", key, as_table(cells, "_cell"), seed)
     exact = {k: n * development / total for k, n in seats.items()}
     dev = {k: int(x) for k, x in exact.items()}
     for k in sorted(dev, key=lambda k: (-(exact[k] - dev[k]), k))[: development - sum(dev.values())]:
         dev[k] += 1
-    first = draw(chosen, stratum, key, as_table(dev), seed + 1).select(key, F.lit("development").alias("split"))
+    first = draw(chosen.select(key, stratum), stratum, key, as_table(dev, stratum), seed + 1).select(key, F.lit("development").alias("split"))
     return chosen.join(first, key, "left").select(key, group, stratum, F.coalesce("split", F.lit("evaluation")).alias("split"))
 
 
-def diverse_draw(df: DataFrame, stratum: str, variety: str, key: str, seats: int, seed: int) -> DataFrame:
+def diverse_draw(df: DataFrame, stratum: str, variety: str, key: str, seats: int | DataFrame, seed: int) -> DataFrame:
     """``seats`` rows of each stratum that spread over the values of ``variety``: the first of every value before the second of any, each in the seeded order; ties by key.
 
-    Only the first ``seats`` rows of a value can be among them, so the others are dropped first.
+    seats: one number, or a table ``(stratum, seats)``. Only as many rows of a value as the stratum
+    has seats can be among them, so the others are dropped first.
     """
     keyed = df.withColumn("_h", seeded(seed, key))
+    keyed = keyed.join(seats.select(stratum, F.col("seats").alias("_seats")), stratum) if isinstance(seats, DataFrame) else keyed.withColumn("_seats", F.lit(seats))
     turn = F.row_number().over(Window.partitionBy(stratum, variety).orderBy("_h", key))
     place = F.row_number().over(Window.partitionBy(stratum).orderBy("_turn", "_h", key))
-    return keyed.withColumn("_turn", turn).where(F.col("_turn") <= seats).withColumn("_n", place).where(F.col("_n") <= seats).drop("_h", "_turn", "_n")
+    return keyed.withColumn("_turn", turn).where("_turn <= _seats").withColumn("_n", place).where("_n <= _seats").drop("_h", "_turn", "_n", "_seats")
 
 
 def overflow(wanted: dict[str, int], room: dict[str, int]) -> dict[str, int]:

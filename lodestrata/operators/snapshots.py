@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+class EmptySnapshot(ValueError):
+    """A snapshot that isn't in the table."""
+
+
 def valid_rows(df: DataFrame, keys: list[str], version: str, columns: list[str]) -> DataFrame:
     """Of several rows with equal ``keys`` the one with the greatest ``version``.
 
@@ -32,6 +36,14 @@ def latest_snapshot(df: DataFrame, snapshot: str = "snapshot_id") -> str | None:
     return df.agg(F.max(snapshot)).first()[0]
 
 
+def snapshot_rows(df: DataFrame, snapshot_id: str | None, order: str, snapshot: str = "snapshot_id") -> DataFrame:
+    """The rows of one snapshot in order. That there are none is an error, not an empty result."""
+    rows = df.where(F.col(snapshot) == F.lit(snapshot_id))
+    if rows.isEmpty():
+        raise EmptySnapshot(f"no rows of snapshot {snapshot_id}")
+    return rows.orderBy(order)
+
+
 def snapshot_changes(
     df: DataFrame,
     snapshot: str = "snapshot_id",

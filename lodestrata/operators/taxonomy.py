@@ -79,3 +79,49 @@ def label_table(concepts: DataFrame, uri: str = "concept_uri") -> DataFrame:
         return concepts.select(uri, values.alias("l")).select(uri, X.collapse(F.col("l")).alias("label"), F.lit(kind).alias("kind"))
 
     return of("preferred_label", "preferred").unionByName(of("alt_labels", "alternative")).unionByName(of("hidden_labels", "hidden")).where("label <> ''").distinct()
+
+
+#: Types that concepts may have.
+CONCEPT_TYPES = ("KnowledgeSkillCompetence", "SkillGroup", "ConceptScheme")
+
+
+def concept_problems(concepts: DataFrame, uri: str = "concept_uri", kind: str = "concept_type", label: str = "preferred_label", kinds: tuple[str, ...] = CONCEPT_TYPES) -> DataFrame:
+    """``(uri, problem)`` of concepts with an unknown type, a URI that isn't one, or without a label; one row for each rule that a row breaks."""
+    c = F.col
+    bad = lambda test, text: F.when(~F.coalesce(test, F.lit(False)), text)
+    rules = F.array_compact(F.array(
+        bad(c(kind).isin(*kinds), "unknown type"), bad(c(uri).rlike(r"^https?://\S+$"), "no URI"), bad(F.trim(c(label)) != "", "no label"),
+    ))
+    return concepts.select(uri, F.explode(rules).alias("problem"))
+
+
+def label_mismatches(links: DataFrame, end: str, given: str, concepts: DataFrame, uri: str, label: str) -> DataFrame:
+    """One row: how many different labels links give to concepts of ``concepts``, and how many of them aren't the concepts' own."""
+    own = concepts.groupBy(uri).agg(F.max(label).alias("_own"))
+    named = links.where(F.col(given).isNotNull() & F.col(end).isNotNull()).select(F.col(end).alias(uri), F.col(given).alias("_given")).distinct()
+    return named.join(own, uri).agg(F.count("*").alias("labels"), F.coalesce(F.sum((F.col("_given") != F.col("_own")).cast("bigint")), F.lit(0)).alias("mismatches"))
+
+
+def import_summary(concepts: DataFrame, by: list[str], lists: list[str]) -> DataFrame:
+    """``(by, concepts, list elements..., without_labels)``: what an import brings, and rows that a warning is due for."""
+    without = F.count_if(F.coalesce(F.trim("preferred_label"), F.lit("")) == "")
+    return concepts.groupBy(*by).agg(F.count("*").alias("concepts"), *[F.sum(F.size(c)).cast("bigint").alias(c) for c in lists], without.alias("without_labels"))
+
+
+def import_taxonomy(concepts: DataFrame, links: DataFrame, path: str, version: str, language: str, digest: str, kinds: tuple[str, ...] = CONCEPT_TYPES) -> dict[str, int] | None:
+    """Import concepts and their ``(child, parent)`` links, all or none (see ``loading.import_tables``).
+
+    Before anything is written, concepts must meet their rules and be one row a URI; links must have
+    known ends, and none may be a loop, stand twice or close a cycle.
+    """
+    from lodestrata.operators import checks, loading
+
+    ends = links.select(F.explode(F.array("child", "parent")).alias("end")).distinct()
+    problems = {
+        "concepts break a rule": concept_problems(concepts, kinds=kinds),
+        "concepts stand twice": checks.duplicate_keys(concepts, ["concept_uri"]),
+        "links of unknown concepts": checks.missing_references(ends, "end", concepts, "concept_uri"),
+        "links stand twice": checks.duplicate_keys(links, ["child", "parent"]),
+        "links make a cycle": hierarchy.cycle_nodes(links.select("child", "parent")),
+    }
+    return loading.import_tables({"concepts": concepts, "links": links, "labels": label_table(concepts)}, path, version, language, digest, problems)

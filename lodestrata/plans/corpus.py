@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules
@@ -100,10 +99,21 @@ def safe_names(spark, d):
 
 
 # ---- cleaning, flags, duplicates
-@query()
+def _html_sql(column: str) -> str:
+    """SQL of a raw posting's readable text, for the tags and entities that occur; white space collapsed."""
+    def unescaped(c: str, *more: tuple[str, str]) -> str:
+        for name, sign in (("&lt;", "<"), ("&gt;", ">"), *more, ("&amp;", "&")):
+            c = f"replace({c}, '{name}', '{sign}')"
+        return c
+
+    bare = f"regexp_replace(replace({unescaped(column)}, '<li>', chr(10) || '- '), '</?(p|h3|ul|li|br)[^<>]*>', chr(10), 'g')"
+    return f"trim(regexp_replace({unescaped(bare, ('&#x27;', chr(39) * 2))}, '{_WS}+', ' ', 'g'))"
+
+
+@query("WITH " + _VALID + f" SELECT snapshot_id, posting_id, {_html_sql('raw_text')} AS text FROM valid WHERE raw_text IS NOT NULL")
 def html_texts(spark, d):
-    """Readable text of every raw posting."""
-    return _all(spark, d, "raw_text").select("snapshot_id", "posting_id", html_to_text("raw_text").alias("text"))
+    """Readable text of every raw posting, but for how its lines are broken."""
+    return _all(spark, d, "raw_text").where("raw_text IS NOT NULL").select("snapshot_id", "posting_id", X.collapse(html_to_text("raw_text")).alias("text"))
 
 
 @query("WITH " + _VALID + " SELECT snapshot_id, posting_id, text_hash AS found FROM valid")
@@ -248,7 +258,7 @@ def word_histogram(spark, d):
 
 @query("SELECT basis, board_token, CAST(count(*) AS BIGINT) AS pairs, CAST(count_if(token_jaccard >= 0.9) AS BIGINT) AS alike, round(min(text_similarity), 4) AS least FROM near_duplicate_candidates GROUP BY 1, 2")
 def reviewed_pairs(spark, d):
-    return table(spark, d, "near_duplicate_candidates").groupBy("basis", "board_token").agg(F.count("*").alias("pairs"), A.conditional("alike", F.col("token_jaccard") >= 0.9), F.round(F.min("text_similarity"), 4).alias("least"))
+    return A.pair_counts(table(spark, d, "near_duplicate_candidates"), ["basis", "board_token"], F.col("token_jaccard") >= 0.9, "text_similarity").withColumn("least", F.round("least", 4))
 
 
 _LABELS = ["required", "preferred", "optional", "unclear"]
@@ -260,10 +270,10 @@ def requirement_counts(spark, d):
     return A.zero_filled(counts, _LABELS, "required_or_preferred", "rows")
 
 
-@query("WITH " + _LATEST + " SELECT posting_id, regexp_matches(coalesce(location, ''), ';|•') AS several_places, contains(lower(coalesce(location, '')), 'remote') AS remote FROM cur")
+@query("WITH " + _LATEST + " SELECT posting_id, regexp_matches(coalesce(location, ''), ';|•') AS several_places, contains(lower(coalesce(location, '')), 'remote') AS remote, NOT regexp_matches(coalesce(location, ''), '" + X.IN_US + "') AS outside_us FROM cur")
 def location_flags(spark, d):
-    place = F.coalesce("location", F.lit(""))
-    return _cur(spark, d, "location").select("posting_id", place.rlike(";|•").alias("several_places"), F.contains(F.lower(place), F.lit("remote")).alias("remote"))
+    place = F.col("location")
+    return _cur(spark, d, "location").select("posting_id", X.several_places(place).alias("several_places"), X.is_remote(place).alias("remote"), X.outside_us(place).alias("outside_us"))
 
 
 @query("WITH " + _LATEST + ", c AS (SELECT company_name, industry, count(*) AS n FROM cur GROUP BY 1, 2) SELECT company_name, industry, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER () AS BIGINT) AS total FROM c")
@@ -272,7 +282,7 @@ def company_shares(spark, d):
     return A.share_of_total(counts, "n").select("company_name", "industry", "n", F.round(F.col("n") / F.col("share")).cast("bigint").alias("total"))
 
 
-@query()
+@query("WITH " + _LATEST + ", s AS (SELECT company_name, count(*) AS n FROM cur GROUP BY 1) SELECT '{\"rows\":' || sum(n) || ',\"squares\":' || CAST(sum(n * n) AS BIGINT) || ',\"groups\":' || count(*) || ',\"top_rows\":' || (SELECT sum(n) FROM (SELECT n FROM s ORDER BY n DESC, company_name LIMIT 2)) || '}' AS metrics FROM s")
 def metrics_json(spark, d):
     return A.as_metrics(A.concentration(_cur(spark, d, "company_name"), "company_name"))
 
@@ -299,11 +309,11 @@ b AS (SELECT posting_id, board_token, 'internal_job_id' AS basis, internal_job_i
 p AS (SELECT x.posting_id AS a, y.posting_id AS b, x.basis FROM b x JOIN b y ON x.board_token = y.board_token AND x.basis = y.basis AND x.v = y.v AND x.posting_id < y.posting_id WHERE x.v <> ''),
 m AS (SELECT a, b, string_agg(basis, '+' ORDER BY basis) AS basis FROM p GROUP BY a, b),
 s AS (SELECT posting_id, text_hash, """ + _tokens("clean_text") + """ AS s FROM t)
-SELECT m.a AS posting_id_a, m.b AS posting_id_b, m.basis, CAST(len(list_intersect(x.s, y.s)) AS INTEGER) AS shared_tokens, CAST(len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)) AS INTEGER) AS all_tokens,
+SELECT m.a AS posting_id_a, m.b AS posting_id_b, m.basis, round(len(list_intersect(x.s, y.s)) / greatest(len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)), 1), 4) AS token_jaccard, CAST(len(list_intersect(x.s, y.s)) AS INTEGER) AS shared_tokens, CAST(len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)) AS INTEGER) AS all_tokens,
   coalesce(x.text_hash = y.text_hash, false) AS exact_text_match FROM m JOIN s x ON x.posting_id = m.a JOIN s y ON y.posting_id = m.b""")
 def review_pairs(spark, d):
     rows = _cur(spark, d, "board_token", "title", "location", "internal_job_id", "clean_text", "text_hash", "exclusion_reason")
-    return pairs.near_duplicate_candidates(rows, ratio=False).select("posting_id_a", "posting_id_b", "basis", "shared_tokens", "all_tokens", "exact_text_match")
+    return pairs.near_duplicate_candidates(rows, ratio=False).select("posting_id_a", "posting_id_b", "basis", "token_jaccard", "shared_tokens", "all_tokens", "exact_text_match")
 
 
 @query()
@@ -313,16 +323,17 @@ def review_pairs_scored(spark, d):
     return pairs.near_duplicate_candidates(rows)
 
 
-@query("WITH RECURSIVE " + _LATEST + r""", k AS (SELECT posting_id AS p, board_token || ' i ' || internal_job_id AS b FROM cur WHERE internal_job_id <> ''
-  UNION ALL SELECT posting_id, board_token || ' t ' || trim(regexp_replace(lower(regexp_replace(title, '(\s*\([^()]*\)\s*)+$', '')), '\s+', ' ', 'g')) FROM cur WHERE trim(regexp_replace(coalesce(title, ''), '(\s*\([^()]*\)\s*)+$', '')) <> ''),
+@query("WITH RECURSIVE " + _LATEST + r""", k AS (SELECT posting_id AS p, board_token || ' i ' || internal_job_id AS b, 'internal_job_id' AS n FROM cur WHERE internal_job_id <> ''
+  UNION ALL SELECT posting_id, board_token || ' t ' || trim(regexp_replace(lower(regexp_replace(title, '(\s*\([^()]*\)\s*)+$', '')), '\s+', ' ', 'g')), 'base_title' FROM cur WHERE trim(regexp_replace(coalesce(title, ''), '(\s*\([^()]*\)\s*)+$', '')) <> ''),
 e AS (SELECT DISTINCT x.p AS a, y.p AS b FROM k x JOIN k y USING (b)),
 r(a, b) AS (SELECT posting_id, posting_id FROM cur UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
-c AS (SELECT a AS posting_id, min(b) AS m FROM r GROUP BY a)
-SELECT posting_id, 'grp:' || m AS group_id, CAST(count(*) OVER (PARTITION BY m) AS BIGINT) AS group_size FROM c""")
+c AS (SELECT a AS posting_id, min(b) AS m FROM r GROUP BY a),
+u AS (SELECT m, string_agg(DISTINCT n, '+' ORDER BY n) AS basis FROM (SELECT b, n, min(p) AS p FROM k GROUP BY b, n HAVING count(DISTINCT p) > 1) JOIN c ON c.posting_id = p GROUP BY m)
+SELECT posting_id, 'grp:' || m AS group_id, coalesce(u.basis, 'singleton') AS basis, CAST(count(*) OVER (PARTITION BY m) AS BIGINT) AS group_size FROM c LEFT JOIN u USING (m)""")
 def related_groups(spark, d):
     rows = _cur(spark, d, "board_token", "internal_job_id", "title")
     found = components.related_groups(rows, "posting_id", {"internal_job_id": F.col("internal_job_id"), "base_title": X.base_title(F.col("title"))}, "board_token")
-    return found.select("posting_id", "group_id", "group_size")
+    return found.select("posting_id", "group_id", "basis", "group_size")
 
 
 @query("WITH w AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2), x AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey) AS s, n * 100 AS e FROM w), f AS (SELECT *, e // s AS fl, e - (e // s) * s AS rest FROM x), o AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY rest DESC, c_mktsegment) AS k, 100 - sum(fl) OVER (PARTITION BY c_nationkey) AS lft FROM f) SELECT c_nationkey, c_mktsegment, CAST(fl + CASE WHEN k <= lft THEN 1 ELSE 0 END AS BIGINT) AS seats FROM o")
@@ -378,11 +389,11 @@ def span_checks(spark, d):
 
 
 @query("WITH " + _VALID + f""", j AS (SELECT s.annotation_id, s.evidence_text AS e, v.clean_text AS t FROM {_SPANS} s JOIN valid v USING (snapshot_id, posting_id) WHERE s.evidence_text <> '')
-SELECT annotation_id, CAST(len(list_filter(range(1, greatest(length(t) - length(e) + 2, 1)), lambda i: substr(t, i, length(e)) = e)) AS BIGINT) AS hits FROM j""")
+SELECT DISTINCT annotation_id, array_to_string(list_transform(list_filter(range(1, greatest(length(t) - length(e) + 2, 1)), lambda i: substr(t, i, length(e)) = e), lambda i: i - 1), ',') AS places FROM j""")
 def evidence_occurrences(spark, d):
     spans = table(spark, d, "skills").select("snapshot_id", "posting_id", "annotation_id", "evidence_text").where("evidence_text <> ''").distinct()
     joined = spans.join(_all(spark, d, "clean_text"), ["snapshot_id", "posting_id"]).where("clean_text IS NOT NULL")
-    return joined.select("annotation_id", F.size(X.occurrences(F.col("clean_text"), F.col("evidence_text"))).cast("bigint").alias("hits"))
+    return joined.select("annotation_id", F.array_join(X.occurrences(F.col("clean_text"), F.col("evidence_text")).cast("array<string>"), ",").alias("places")).distinct()
 
 
 @query("WITH " + _VALID + f""", s AS (SELECT * FROM {_SPANS} WHERE annotation_id IS NOT NULL), l AS (SELECT snapshot_id, posting_id, length(clean_text) AS n FROM valid WHERE length(clean_text) > 0),
@@ -407,11 +418,23 @@ def alternative_problems(spark, d):
     return N.alternative_problems(table(spark, d, "skills").dropDuplicates(["annotation_id"]))
 
 
-@query("WITH s AS (SELECT DISTINCT ON (annotation_id) * FROM skills WHERE skill_statement IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, posting_id, lower(skill_statement) ORDER BY annotation_id) AS k FROM s) SELECT annotation_id, CAST(row_number() OVER (PARTITION BY snapshot_id, posting_id ORDER BY annotation_id) - 1 AS INTEGER) AS ordinal FROM r WHERE k = 1")
+@query("WITH " + _VALID + r""", s AS (SELECT DISTINCT snapshot_id, posting_id, annotation_id, trim(skill_statement) AS st, trim(coalesce(evidence_text, '')) AS e FROM skills WHERE annotation_id IS NOT NULL),
+j AS (SELECT s.*, v.clean_text AS t, CAST(row_number() OVER (PARTITION BY s.snapshot_id, s.posting_id ORDER BY annotation_id) - 1 AS INTEGER) AS k FROM s JOIN valid v USING (snapshot_id, posting_id)),
+h AS (SELECT *, CASE WHEN e = '' OR t IS NULL THEN 0 ELSE len(list_filter(range(1, greatest(length(t) - length(e) + 2, 1)), lambda i: substr(t, i, length(e)) = e)) END AS hits FROM j),
+a AS (SELECT *, coalesce(st, '') <> '' AND e <> '' AND hits = 1 AS ok FROM h),
+f AS (SELECT *, ok AND row_number() OVER (PARTITION BY snapshot_id, posting_id, lower(st), ok ORDER BY k) = 1 AS kept FROM a)
+SELECT snapshot_id, posting_id, k AS model_index, CASE WHEN kept THEN CAST(strpos(t, e) - 1 AS INTEGER) END AS start, kept AS accepted,
+  CASE WHEN kept THEN CAST(count(*) FILTER (WHERE kept) OVER (PARTITION BY snapshot_id, posting_id ORDER BY k) - 1 AS BIGINT) END AS ordinal FROM f""")
 def statement_ordinals(spark, d):
-    rows = table(spark, d, "skills").dropDuplicates(["annotation_id"]).where("skill_statement IS NOT NULL")
-    first = rows.groupBy("snapshot_id", "posting_id", F.lower("skill_statement").alias("s")).agg(F.min("annotation_id").alias("annotation_id"))
-    return first.select("annotation_id", (F.row_number().over(Window.partitionBy("snapshot_id", "posting_id").orderBy("annotation_id")) - 1).alias("ordinal"))
+    """Each posting's statements as a model's output: placed, judged and numbered."""
+    rows = table(spark, d, "skills").select("snapshot_id", "posting_id", "annotation_id", "skill_statement", "evidence_text").where("annotation_id IS NOT NULL").distinct()
+    none = F.lit(None).cast("string")
+    item = F.struct("annotation_id", "skill_statement", "evidence_text", none.alias("evidence_context"), none.alias("requirement_status"), none.alias("mention_relation"), none.alias("alternative_group"))
+    output = rows.groupBy("snapshot_id", "posting_id").agg(F.array_sort(F.collect_list(item)).alias("skills")).join(_all(spark, d, "clean_text"), ["snapshot_id", "posting_id"])
+    keyed = output.select(F.struct("snapshot_id", "posting_id").alias("key"), "clean_text", "skills")
+    found = N.statement_rows(keyed, "key", "clean_text", "skills")
+    accepted = F.col("reason").isNull()
+    return found.select("key.*", "model_index", F.when(accepted, F.col("start")).alias("start"), accepted.alias("accepted"), F.col("ordinal").cast("bigint").alias("ordinal"))
 
 
 @query()
@@ -428,21 +451,30 @@ def repeated_rows(spark, d):
     return checks.duplicate_keys(table(spark, d, "postings"), ["snapshot_id", "posting_id"])
 
 
-@query("WITH " + _VALID + " SELECT v.snapshot_id, v.posting_id FROM valid v WHERE is_duplicate_of IS NOT NULL AND NOT EXISTS (SELECT 1 FROM valid w WHERE w.snapshot_id = v.snapshot_id AND w.posting_id = v.is_duplicate_of)")
+@query("WITH " + _LATEST + " SELECT DISTINCT annotation_id, posting_id FROM skills s WHERE posting_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cur w WHERE w.posting_id = s.posting_id)")
 def unknown_originals(spark, d):
-    rows = _all(spark, d, "is_duplicate_of")
-    pairs_ = rows.select("snapshot_id", "posting_id", F.when(F.col("is_duplicate_of").isNotNull(), F.struct("snapshot_id", F.col("is_duplicate_of").alias("posting_id"))).alias("ref"))
-    return checks.missing_references(pairs_, "ref", rows.select(F.struct("snapshot_id", "posting_id").alias("id")), "id").select("snapshot_id", "posting_id")
+    """Annotations of postings that the latest snapshot doesn't have any more."""
+    rows = table(spark, d, "skills").select("annotation_id", "posting_id").distinct()
+    return checks.missing_references(rows, "posting_id", _cur(spark, d), "posting_id")
 
 
-@query()
+_FAULTS = {"text_hash": ("'X' || posting_id", "text_hash is no SHA-256"), "word_count": ("-1 - word_count", "word_count is negative"), "snapshot_id": ("'v' || snapshot_id", "snapshot_id has another form"), "cleaning_version": ("''", "cleaning_version is missing")}
+
+
+@query("WITH p AS (SELECT *, left(sha256(concat_ws('|', snapshot_id, posting_id, fetched_at)), 1) AS h FROM postings) " + " UNION ALL ".join(
+    f"SELECT '{text}' AS problem, CAST(count(*) AS BIGINT) AS rows FROM p WHERE h = '{i}' AND {c} IS NOT NULL HAVING count(*) > 0" for i, (c, (_, text)) in enumerate(_FAULTS.items())))
 def row_problems(spark, d):
-    return checks.problem_counts(table(spark, d, "postings"))
+    """What is wrong with the postings after faults were put into some of them: each row's hash says which."""
+    rows = table(spark, d, "postings").withColumn("_h", F.substring(F.sha2(F.concat_ws("|", "snapshot_id", "posting_id", "fetched_at"), 256), 1, 1))
+    for i, (column, (fault, _)) in enumerate(_FAULTS.items()):
+        rows = rows.withColumn(column, F.when((F.col("_h") == str(i)) & F.col(column).isNotNull(), F.expr(fault)).otherwise(F.col(column)))
+    found = checks.problem_counts(rows)
+    return found.where(F.col("problem").isin(*[text for _, text in _FAULTS.values()]))
 
 
-@query("SELECT 'industry_source' AS \"column\", CAST(count(DISTINCT industry_source) AS BIGINT) AS \"values\" FROM postings HAVING count(DISTINCT industry_source) <> 1 UNION ALL SELECT 'source', CAST(count(DISTINCT source) AS BIGINT) FROM postings HAVING count(DISTINCT source) <> 1 UNION ALL SELECT 'cleaning_version', CAST(count(DISTINCT cleaning_version) AS BIGINT) FROM postings HAVING count(DISTINCT cleaning_version) <> 1")
+@query("SELECT 'industry_source' AS \"column\", CAST(count(DISTINCT industry_source) AS BIGINT) AS \"values\" FROM postings HAVING count(DISTINCT industry_source) <> 1 UNION ALL SELECT 'source', CAST(count(DISTINCT source) AS BIGINT) FROM postings HAVING count(DISTINCT source) <> 1 UNION ALL SELECT 'cleaning_version', CAST(count(DISTINCT cleaning_version) AS BIGINT) FROM postings HAVING count(DISTINCT cleaning_version) <> 1 UNION ALL SELECT 'board_token', CAST(count(DISTINCT board_token) AS BIGINT) FROM postings HAVING count(DISTINCT board_token) <> 1 UNION ALL SELECT 'snapshot_id', CAST(count(DISTINCT snapshot_id) AS BIGINT) FROM postings HAVING count(DISTINCT snapshot_id) <> 1")
 def several_values(spark, d):
-    return checks.several_values(table(spark, d, "postings"), ["industry_source", "source", "cleaning_version"])
+    return checks.several_values(table(spark, d, "postings"), ["industry_source", "source", "cleaning_version", "board_token", "snapshot_id"])
 
 
 _ENDS = "n AS (SELECT min(snapshot_id) AS a, max(snapshot_id) AS b FROM postings)"
@@ -467,9 +499,9 @@ def frozen_difference(spark, d):
     return loading.frozen_difference(orders.where("o_totalprice > 150000").select("o_custkey", "o_orderstatus"), orders.where("o_orderstatus <> 'F'").select("o_custkey", "o_orderstatus"))
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM reading_labels WHERE doc_id IS NOT NULL)")
 def rows_without_partner(spark, d):
-    return checks.missing_references(table(spark, d, "customer").select("c_custkey"), "c_custkey", table(spark, d, "orders"), "o_custkey")
+    return checks.missing_references(table(spark, d, "documents").select("doc_id"), "doc_id", table(spark, d, "reading_labels"), "doc_id")
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
@@ -483,7 +515,8 @@ def diverse_draw(spark, d):
     return selection.diverse_draw(table(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_custkey"), "c_nationkey", "c_mktsegment", "c_custkey", 12, 5)
 
 
-@query("WITH " + _VALID + r""", s AS (SELECT DISTINCT snapshot_id, posting_id, annotation_id, skill_statement, evidence_text, evidence_start, evidence_end, required_or_preferred, alternative_group_id, annotator_id FROM skills),
+@query("WITH " + _VALID + r""", s AS (SELECT DISTINCT snapshot_id, posting_id, annotation_id, skill_statement, evidence_text, evidence_start, evidence_end, required_or_preferred, alternative_group_id, annotator_id, skill_category FROM skills),
+g AS (SELECT alternative_group_id, count(*) AS n, count(DISTINCT posting_id) AS postings, count(DISTINCT coalesce(required_or_preferred, '')) AS requirements, count(DISTINCT lower(trim(skill_statement))) AS skills, count(skill_statement) AS stated FROM s WHERE coalesce(trim(alternative_group_id), '') <> '' GROUP BY 1),
 j AS (SELECT s.*, v.clean_text AS t, count(*) OVER (PARTITION BY annotation_id) AS uses, count(*) OVER (PARTITION BY s.snapshot_id, s.posting_id, evidence_start, evidence_end, lower(trim(skill_statement))) AS spans,
   coalesce(evidence_start >= 0 AND evidence_start < evidence_end AND evidence_end <= length(v.clean_text), false) AS ok FROM s LEFT JOIN valid v USING (snapshot_id, posting_id)),
 p AS (SELECT annotation_id, 'skill_statement' AS field, 'empty' AS problem FROM j WHERE coalesce(trim(skill_statement), '') = ''
@@ -493,11 +526,16 @@ UNION ALL SELECT annotation_id, 'annotator_id', 'empty' FROM j WHERE coalesce(tr
 UNION ALL SELECT annotation_id, 'evidence_start', 'outside the text' FROM j WHERE t IS NOT NULL AND NOT ok
 UNION ALL SELECT annotation_id, 'evidence_text', 'not at its place' FROM j WHERE ok AND coalesce(substr(t, evidence_start + 1, evidence_end - evidence_start) <> evidence_text, true)
 UNION ALL SELECT annotation_id, 'evidence_text', 'blanks at its ends' FROM j WHERE ok AND evidence_text <> trim(evidence_text)
-UNION ALL SELECT annotation_id, 'skill_statement', 'recorded twice for a span' FROM j WHERE coalesce(trim(skill_statement), '') <> '' AND evidence_start IS NOT NULL AND spans > 1)
+UNION ALL SELECT annotation_id, 'skill_statement', 'recorded twice for a span' FROM j WHERE coalesce(trim(skill_statement), '') <> '' AND evidence_start IS NOT NULL AND spans > 1
+UNION ALL SELECT annotation_id, 'skill_category', 'unknown value' FROM j WHERE coalesce(trim(skill_category), '') <> '' AND skill_category NOT IN ('technical', 'soft')
+UNION ALL SELECT annotation_id, CASE k WHEN 1 THEN 'alternative_group_id' WHEN 2 THEN 'alternative_group_id' WHEN 3 THEN 'required_or_preferred' ELSE 'skill_statement' END,
+  CASE k WHEN 1 THEN 'only one member' WHEN 2 THEN 'used in several postings' WHEN 3 THEN 'mixed in an alternative group' ELSE 'twice in an alternative group' END
+  FROM j JOIN g USING (alternative_group_id), range(1, 5) r(k) WHERE (k = 1 AND g.n < 2) OR (k = 2 AND g.postings > 1) OR (k = 3 AND g.requirements > 1) OR (k = 4 AND g.skills < g.stated)
+UNION ALL SELECT annotation_id, 'alternative_group_id', 'malformed' FROM j WHERE coalesce(trim(alternative_group_id), '') <> '' AND NOT regexp_matches(alternative_group_id, '^[A-Za-z0-9_.-]{1,40}$'))
 SELECT * FROM p""")
 def annotation_problems(spark, d):
-    columns = ["snapshot_id", "posting_id", "annotation_id", "skill_statement", "evidence_text", "evidence_start", "evidence_end", "required_or_preferred", "alternative_group_id", "annotator_id"]
-    return N.annotation_problems(table(spark, d, "skills").select(*columns).distinct(), _all(spark, d, "clean_text"))
+    columns = ["snapshot_id", "posting_id", "annotation_id", "skill_statement", "evidence_text", "evidence_start", "evidence_end", "required_or_preferred", "alternative_group_id", "annotator_id", "skill_category"]
+    return N.annotation_problems(table(spark, d, "skills").select(*columns).distinct(), _all(spark, d, "clean_text"), categories=("technical", "soft"))
 
 
 @query("SELECT DISTINCT annotation_id, array_to_string(list_filter([CASE WHEN contains(coalesce(review_notes, ''), 'DISCUSS') THEN 'discuss' END, CASE WHEN contains(coalesce(review_notes, ''), 'illustrative list') THEN 'illustrative' END, CASE WHEN starts_with(coalesce(review_notes, ''), 'AI-SUGGESTED') THEN 'suggested_addition' END], lambda x: x IS NOT NULL), ';') AS flags, coalesce(nullif(regexp_extract(esco_v, '\\bv(\\d+(?:\\.\\d+)+)', 1), ''), '') AS version, CASE skill_category WHEN 'language' THEN 'Language' WHEN 'technical' THEN 'Technical' ELSE 'unknown' END AS shown FROM skills, (SELECT max('taxonomy ' || esco_version || ' en') AS esco_v FROM esco_concepts)")
@@ -540,3 +578,30 @@ def utc_stamps(spark, d):
 def excerpts(spark, d):
     rows = _cur(spark, d, "clean_text").where("clean_text IS NOT NULL")
     return rows.select("posting_id", X.around(F.col("clean_text"), F.lit(0), F.lit(0), 20).alias("head"), X.shorten(F.col("clean_text"), 60).alias("short"))
+
+
+_REVIEWS = """h AS (SELECT posting_id, sha256(posting_id) AS h FROM (SELECT DISTINCT posting_id FROM postings WHERE posting_id IS NOT NULL)),
+v AS (SELECT posting_id, CASE WHEN substr(h, 1, 1) < '8' THEN 'development' ELSE 'evaluation' END AS split, CASE WHEN substr(h, 2, 1) < '4' THEN 'not_started' WHEN substr(h, 2, 1) < '8' THEN 'in_progress' WHEN substr(h, 2, 1) < 'e' THEN 'reviewed' ELSE 'done' END AS review_status,
+  CASE WHEN substr(h, 3, 1) < 'c' THEN 'ann' ELSE ' ' END AS annotator_id, CASE WHEN substr(h, 4, 1) < '8' THEN '2025-02-28' WHEN substr(h, 4, 1) < 'c' THEN '2025-02-30' ELSE 'soon' END AS reviewed_at, substr(h, 5, 1) AS h5 FROM h WHERE substr(h, 6, 1) < 'e'),
+r AS (SELECT * FROM v UNION ALL SELECT * FROM v WHERE h5 = '0'),
+c AS (SELECT posting_id, CASE WHEN substr(h, 1, 1) < '7' THEN 'development' ELSE 'evaluation' END AS split FROM h WHERE substr(h, 5, 1) < 'e')"""
+
+
+@query("WITH " + _REVIEWS + """ SELECT r.posting_id, p.field, p.problem FROM r LEFT JOIN c USING (posting_id), LATERAL (SELECT unnest([
+  CASE WHEN c.posting_id IS NULL THEN {'field': 'posting_id', 'problem': 'not selected'} END, CASE WHEN h5 = '0' THEN {'field': 'posting_id', 'problem': 'listed more than once'} END,
+  CASE WHEN r.split <> c.split THEN {'field': 'split', 'problem': 'another split'} END, CASE WHEN review_status = 'done' THEN {'field': 'review_status', 'problem': 'unknown value'} END,
+  CASE WHEN review_status = 'reviewed' AND annotator_id = ' ' THEN {'field': 'annotator_id', 'problem': 'missing on a reviewed posting'} END,
+  CASE WHEN review_status = 'reviewed' AND reviewed_at <> '2025-02-28' THEN {'field': 'reviewed_at', 'problem': 'no ISO date'} END,
+  CASE WHEN review_status = 'not_started' AND r.posting_id IN (SELECT posting_id FROM skills WHERE posting_id IS NOT NULL) THEN {'field': 'posting_id', 'problem': 'annotated but not started'} END]) AS p) WHERE p IS NOT NULL
+UNION ALL SELECT posting_id, 'posting_id', 'selected but missing' FROM c WHERE posting_id NOT IN (SELECT posting_id FROM v)""")
+def review_problems(spark, d):
+    """What is wrong with review rows that follow from each posting's hash, against a selection that does."""
+    place = lambda i: F.substring("h", i, 1)
+    hashed = table(spark, d, "postings").where("posting_id IS NOT NULL").select("posting_id").distinct().withColumn("h", F.sha2("posting_id", 256))
+    rows = hashed.where(place(6) < "e").select(
+        "posting_id", F.when(place(1) < "8", "development").otherwise("evaluation").alias("split"),
+        F.when(place(2) < "4", "not_started").when(place(2) < "8", "in_progress").when(place(2) < "e", "reviewed").otherwise("done").alias("review_status"),
+        F.when(place(3) < "c", "ann").otherwise(" ").alias("annotator_id"), F.when(place(4) < "8", "2025-02-28").when(place(4) < "c", "2025-02-30").otherwise("soon").alias("reviewed_at"), place(5).alias("h5"),
+    )
+    selected = hashed.where(place(5) < "e").select("posting_id", F.when(place(1) < "7", "development").otherwise("evaluation").alias("split"))
+    return N.review_problems(rows.unionByName(rows.where("h5 = '0'")).drop("h5"), selected, table(spark, d, "skills"))

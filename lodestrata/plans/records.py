@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import extraction, hierarchy, reading, selection, taxonomy
+from lodestrata.operators import combine, extraction, hierarchy, reading, selection, taxonomy
 from lodestrata.operators.snapshots import latest_snapshot, valid_rows
 from lodestrata.plans.general import _GRAPH
 from lodestrata.plans.tables import table
@@ -41,15 +40,22 @@ def differing_labels(spark, d):
     return taxonomy.differing_columns(rows, "uri").select("uri", "rows", F.array_join("fields", ";").alias("fields"))
 
 
-@query("SELECT CAST(sum(CASE WHEN r.r_regionkey IS NULL THEN n ELSE 0 END) AS BIGINT) AS unresolved, CAST(0 AS BIGINT) AS type_mismatches, CAST(sum(CASE WHEN a = b THEN n ELSE 0 END) AS BIGINT) AS self_loops, CAST(count_if(n > 1) AS BIGINT) AS repeated_pairs FROM (SELECT n_nationkey AS a, n_regionkey AS b, count(*) AS n FROM nation GROUP BY ALL) LEFT JOIN region r ON r.r_regionkey = b")
-def nation_links(spark, d):
-    nations, regions = table(spark, d, "nation"), table(spark, d, "region")
-    known = nations.select(F.col("n_nationkey").alias("uri"), F.lit("nation").alias("kind")).unionByName(regions.select(F.col("r_regionkey").alias("uri"), F.lit("nation").alias("kind")))
-    links = nations.select("n_nationkey", "n_regionkey")
-    return taxonomy.link_problems(taxonomy.resolve_links(links, ["n_nationkey", "n_regionkey"], known, "uri", "kind"), "n_nationkey", "n_regionkey")
+_CLEAN = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
-_CLEAN = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_LINKS = f"""WITH c AS (SELECT {_CLEAN.format('concepturi')} AS u, max(concepttype) AS t FROM broaderrelationsskillpillar WHERE concepttype IS NOT NULL GROUP BY 1),
+l AS (SELECT {_CLEAN.format('concepturi')} AS child, {_CLEAN.format('broaderuri')} AS parent, broadertype FROM broaderrelationsskillpillar WHERE {_CLEAN.format('broaderuri')} <> '' AND {_CLEAN.format('concepturi')} <> ''),
+k AS (SELECT l.*, x.t AS child_kind, y.t AS parent_kind FROM l LEFT JOIN c x ON x.u = child LEFT JOIN c y ON y.u = parent)"""
+
+
+@query(_LINKS + """, p AS (SELECT child, parent, count(*) AS n, bool_or(child_kind IS NULL OR parent_kind IS NULL) AS lost, count_if(parent_kind <> broadertype) AS bad FROM k GROUP BY 1, 2)
+SELECT CAST(coalesce(sum(n) FILTER (WHERE lost), 0) AS BIGINT) AS unresolved, CAST(sum(bad) AS BIGINT) AS type_mismatches, CAST(coalesce(sum(n) FILTER (WHERE child = parent), 0) AS BIGINT) AS self_loops, CAST(count_if(n > 1) AS BIGINT) AS repeated_pairs FROM p""")
+def pillar_link_problems(spark, d):
+    """What is wrong with the pillar's links as delivered: types are those that concepts declare for themselves."""
+    raw = table(spark, d, "broaderrelationsskillpillar").select(hierarchy.clean_id("concepturi").alias("child"), hierarchy.clean_id("broaderuri").alias("parent"), "concepttype", "broadertype")
+    kinds = raw.where("concepttype IS NOT NULL").groupBy(F.col("child").alias("uri")).agg(F.max("concepttype").alias("kind"))
+    links = taxonomy.resolve_links(raw.where("child IS NOT NULL AND parent IS NOT NULL"), ["child", "parent"], kinds, "uri", "kind")
+    return taxonomy.link_problems(links, "child", "parent", {"parent": "broadertype"})
 
 
 @query(f"""WITH c AS (SELECT {_CLEAN.format('concepturi')} AS u, max(concepttype) AS t FROM broaderrelationsskillpillar WHERE concepttype IS NOT NULL GROUP BY 1),
@@ -85,9 +91,9 @@ def unknown_schemes(spark, d):
     return taxonomy.unknown_schemes(taxonomy.memberships(parts, "p_partkey", "s"), known, "p_brand")
 
 
-@query("SELECT concept_type, status, CAST(count(*) AS BIGINT) AS concepts, CAST(sum(len(alt_labels)) AS BIGINT) AS labels FROM esco_concepts GROUP BY 1, 2")
+@query("SELECT concept_type, status, CAST(count(*) AS BIGINT) AS concepts, CAST(sum(len(alt_labels)) AS BIGINT) AS alt_labels, CAST(count_if(coalesce(trim(preferred_label), '') = '') AS BIGINT) AS without_labels FROM esco_concepts GROUP BY 1, 2")
 def import_counts(spark, d):
-    return table(spark, d, "esco_concepts").groupBy("concept_type", "status").agg(F.count("*").alias("concepts"), F.sum(F.size("alt_labels")).alias("labels"))
+    return taxonomy.import_summary(table(spark, d, "esco_concepts"), ["concept_type", "status"], ["alt_labels"])
 
 
 @query(_GRAPH + "SELECT node FROM cyclic")
@@ -113,39 +119,20 @@ def closed_scopes(spark, d):
     return log.open_after(table(spark, d, "events"), "user_id", "event_id", "event_type", "purchase")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def event_payload(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS version, round(sum(coalesce(value, 0)), 4) AS total FROM events GROUP BY 1")
 def streamed_versions(spark, d):
     """The log as a stream with state: the last version of every user."""
-    held = {}
-
-    def sink(batch, number):
-        for r in batch.groupBy("user_id").agg(F.max(F.struct("version", "total")).alias("s")).collect():
-            held[r["user_id"]] = (r["s"]["version"], r["s"]["total"])
-
-    with tempfile.TemporaryDirectory() as at:
-        stream = log.running_versions(log.read_stream(spark, _folder_of(spark, d, "events")))
-        log.run_once(stream, sink, at, "update")
-    return spark.createDataFrame([(k, *v) for k, v in held.items()], "user_id bigint, version bigint, total double").select("user_id", "version", F.round("total", 4).alias("total"))
+    held = log.collected(log.running_versions(log.read_stream(spark, _folder_of(spark, d, "events"))), "update")
+    last = held.groupBy("user_id").agg(F.max(F.struct("version", "total")).alias("s"))
+    return last.select("user_id", "s.version", F.round("s.total", 4).alias("total"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def streamed_windows(spark, d):
-    """Hourly windows of the log as a stream; the sink keeps each window's last state."""
-    held = {}
-
-    def sink(batch, number):
-        for r in batch.collect():
-            held[r["start"], r["event_type"]] = (r["events"], r["value"])
-
-    with tempfile.TemporaryDirectory() as at:
-        log.run_once(log.windowed_counts(log.read_stream(spark, _folder_of(spark, d, "events")), "1 hour", "10 years"), sink, at, "update")
-    rows = [(*k, *v) for k, v in held.items()]
-    return spark.createDataFrame(rows, "start timestamp, event_type string, events bigint, value double").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("value", 4).alias("value"))
+    """Hourly windows of the log as a stream; each window's last state counts."""
+    held = log.collected(log.windowed_counts(log.read_stream(spark, _folder_of(spark, d, "events")), "1 hour", "1 day"), "update")
+    last = held.groupBy("start", "event_type").agg(F.max(F.struct("events", "value")).alias("s"))
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "s.events", F.round("s.value", 4).alias("value"))
 
 
 def _folder_of(spark, d: str, name: str) -> str:
@@ -163,11 +150,11 @@ _REQUEST = "model-1"
 def _requests(spark, d):
     rows = table(spark, d, "postings")
     current = valid_rows(rows.where(F.col("snapshot_id") == latest_snapshot(rows)), ["posting_id"], "fetched_at", ["clean_text", "exclusion_reason", "is_placeholder"])
-    return current.where("exclusion_reason = ''").withColumn("cache_key", F.sha2(F.concat_ws("|", F.lit(_REQUEST), F.coalesce("clean_text", F.lit(""))), 256))
+    return extraction.with_keys(current.where("exclusion_reason = ''"), model=_REQUEST)
 
 
 _CURRENT = """cur AS (SELECT unnest(r) FROM (SELECT max_by(p, fetched_at) AS r FROM postings p WHERE snapshot_id = (SELECT max(snapshot_id) FROM postings) AND posting_id IS NOT NULL GROUP BY posting_id)),
-q AS (SELECT posting_id, sha256(concat_ws('|', 'model-1', coalesce(clean_text, ''))) AS cache_key FROM cur WHERE exclusion_reason = '')"""
+q AS (SELECT posting_id, sha256('{"model":"model-1","text":"' || sha256(coalesce(clean_text, '')) || '"}') AS cache_key FROM cur WHERE exclusion_reason = '')"""
 
 
 @query("WITH " + _CURRENT + """, c AS (SELECT DISTINCT cache_key, substr(cache_key, 1, 1) < '4' AS valid FROM q WHERE substr(cache_key, 1, 1) < '8')
@@ -204,16 +191,25 @@ def echo_backend(prompt: str) -> dict:
     return {"body": json.dumps(body), "stop_reason": "end_turn", "input_tokens": len(prompt.split()), "output_tokens": len(line.split())}
 
 
-@query()
+@query("WITH " + _CURRENT + r""", t AS (SELECT coalesce(clean_text, '') AS t FROM cur WHERE exclusion_reason = ''),
+l AS (SELECT t, regexp_extract(regexp_replace(t, '^\s+', ''), '^[^\n\r\v\f]*') AS line, CAST(len(list_filter(regexp_split_to_array(t, '[\s\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+'), lambda w: w <> '')) AS BIGINT) AS n FROM t)
+SELECT CASE WHEN line = '' THEN 'failed' WHEN regexp_matches(line, '^\p{Lu}') THEN 'ok' ELSE 'zero_skills' END AS status, CASE WHEN line = '' THEN 'refusal' END AS problem,
+  CAST(count(*) AS BIGINT) AS rows, CAST(sum(CASE WHEN line = '' THEN 0 ELSE n END) AS BIGINT) AS tokens FROM l GROUP BY 1, 2""")
 def judged_calls(spark, d):
     requests = _requests(spark, d).withColumn("prompt", F.coalesce("clean_text", F.lit("")))
     return extraction.judge(extraction.complete(requests, echo_backend), OUTPUT_SCHEMA).groupBy("status", "problem").agg(F.count("*").alias("rows"), F.sum("input_tokens").alias("tokens"))
 
 
 # ---- read views
-@query("WITH " + _CURRENT + """, s AS (SELECT posting_id, count(*) AS n FROM skills GROUP BY 1) SELECT q.posting_id, coalesce(n, 0) AS skills FROM q LEFT JOIN s USING (posting_id)""")
+@query("WITH " + _CURRENT + """, s AS (SELECT posting_id, count(*) AS n FROM skills GROUP BY 1), a AS (SELECT posting_id, min(required_or_preferred) AS requirement FROM skills GROUP BY 1), t AS (SELECT posting_id, CASE WHEN substr(sha256(posting_id), 1, 1) < '4' THEN 'evaluation' END AS split FROM q)
+SELECT q.posting_id, coalesce(a.requirement, '') AS requirement, coalesce(t.split, '') AS split, coalesce(n, 0) AS skills FROM q LEFT JOIN s USING (posting_id) LEFT JOIN a USING (posting_id) LEFT JOIN t USING (posting_id)""")
 def posting_details(spark, d):
-    return reading.details(_requests(spark, d).select("posting_id"), "posting_id", {}, {"skills": table(spark, d, "skills")})
+    base, skills = _requests(spark, d).select("posting_id"), table(spark, d, "skills")
+    sides = {
+        "requirement": skills.groupBy("posting_id").agg(F.min("required_or_preferred").alias("requirement")),
+        "split": base.where(F.substring(F.sha2("posting_id", 256), 1, 1) < "4").withColumn("split", F.lit("evaluation")),
+    }
+    return reading.details(base, "posting_id", sides, {"skills": skills})
 
 
 @query("WITH m AS (SELECT c_custkey, c_nationkey, CASE WHEN substr(sha256('3:' || c_custkey), 1, 1) < '8' THEN 'development' ELSE 'evaluation' END AS split FROM customer), g AS (SELECT *, list(c_custkey) OVER (PARTITION BY c_nationkey, c_custkey % 50) AS mem FROM m), h AS (SELECT CAST(c_custkey AS VARCHAR) AS posting_id FROM g WHERE split = 'evaluation' UNION SELECT CAST(unnest(mem) AS VARCHAR) FROM g WHERE split = 'evaluation') SELECT posting_id FROM h WHERE posting_id NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM m WHERE split = 'development')")
@@ -241,26 +237,52 @@ def corpus_listing(spark, d):
 def label_mismatches(spark, d):
     """How many labels that links give to broader concepts differ from the concepts' own."""
     raw = table(spark, d, "broaderrelationsskillpillar").select(hierarchy.clean_id("concepturi").alias("u"), hierarchy.clean_id("broaderuri").alias("b"), "conceptlabel", "broaderlabel")
-    own = raw.groupBy("u").agg(F.max("conceptlabel").alias("l"))
-    given = raw.where("broaderlabel IS NOT NULL AND b IS NOT NULL").select(F.col("b").alias("u"), "broaderlabel").distinct()
-    return given.join(own, "u").agg(F.count("*").alias("labels"), F.sum((F.col("broaderlabel") != F.col("l")).cast("bigint")).alias("mismatches"))
+    return taxonomy.label_mismatches(raw, "b", "broaderlabel", raw.where("u IS NOT NULL"), "u", "conceptlabel")
 
 
 @query("SELECT posting_id, title FROM (SELECT DISTINCT posting_id, title FROM postings WHERE snapshot_id = (SELECT max(snapshot_id) FROM postings) AND word_count >= 200)")
 def parameterised_sql(spark, d):
     """A statement with named parameters over a view of the table."""
     rows = table(spark, d, "postings")
-    return spark.sql("SELECT DISTINCT posting_id, title FROM {rows} WHERE snapshot_id = :snapshot AND word_count >= :words", args={"snapshot": latest_snapshot(rows), "words": 200}, rows=rows)
+    return reading.sql_rows("SELECT DISTINCT posting_id, title FROM {rows} WHERE snapshot_id = :snapshot AND word_count >= :words", {"snapshot": latest_snapshot(rows), "words": 200}, rows=rows)
 
 
-@query("SELECT l_returnflag AS status, CAST(count(*) AS BIGINT) AS rows, CAST(sum(CASE WHEN l_linestatus = 'F' THEN coalesce(CAST(l_quantity AS BIGINT), 0) ELSE 0 END) AS BIGINT) AS billed FROM lineitem GROUP BY 1")
-def billed_sums(spark, d):
-    billed = F.when(F.col("l_linestatus") == "F", F.coalesce(F.col("l_quantity").cast("bigint"), F.lit(0))).otherwise(0)
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("status")).agg(F.count("*").alias("rows"), F.sum(billed).alias("billed"))
+@query("WITH " + _CURRENT + """, r AS (SELECT *, substr(cache_key, 1, 1) AS h, (SELECT c.word_count FROM cur c WHERE c.posting_id = q.posting_id) AS w FROM q)
+SELECT CAST(sum(CASE WHEN h < '2' THEN 0 WHEN h < '8' THEN 1 ELSE 2 END) AS BIGINT) AS attempts, CAST(count_if(h < '5') AS BIGINT) AS cache_hits, CAST(count_if(h < 'a') AS BIGINT) AS ok, CAST(count_if(h >= 'a' AND h < 'd') AS BIGINT) AS zero_skills, CAST(count_if(h >= 'd') AS BIGINT) AS failed,
+  CAST(coalesce(sum(CASE WHEN h < '8' THEN w END), 0) AS BIGINT) AS input_tokens, CAST(0 AS BIGINT) AS output_tokens FROM r""")
+def run_totals(spark, d):
+    """The totals of a run whose outcomes follow from its keys; some have no token counts."""
+    h = F.substring("cache_key", 1, 1)
+    rows = table(spark, d, "postings")
+    words = valid_rows(rows.where(F.col("snapshot_id") == latest_snapshot(rows)), ["posting_id"], "fetched_at", ["word_count"])
+    judged = _requests(spark, d).join(words, "posting_id").select(
+        F.when(h < "a", "ok").when(h < "d", "zero_skills").otherwise("failed").alias("status"), F.when(h < "8", F.col("word_count")).alias("input_tokens"), F.lit(None).cast("bigint").alias("output_tokens"),
+        F.when(h < "2", F.lit(None).cast("array<string>")).when(h < "8", F.array(F.lit("end_turn"))).otherwise(F.array(F.lit("error"), F.lit("end_turn"))).alias("attempts"), (h < "5").alias("cache_hit"),
+    )
+    return extraction.run_totals(judged)
 
 
 @query("SELECT c_custkey AS id, 'customer' AS kind FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)")
 def checked_union(spark, d):
     """Two tables as one, the second without the keys of the first."""
-    customers, suppliers = (table(spark, d, t).select(F.col(k).alias("id"), F.lit(t).alias("kind")) for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey")))
-    return customers.unionByName(suppliers.join(customers, "id", "left_anti"))
+    return combine.union_checked(*_parties(spark, d), ["id"])
+
+
+def _parties(spark, d):
+    return [table(spark, d, t).select(F.col(k).alias("id"), F.lit(t).alias("kind")) for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey"))]
+
+
+@query("SELECT id, arg_min(nation, turn) AS nation FROM (SELECT s_suppkey AS id, s_nationkey AS nation, 0 AS turn FROM supplier UNION ALL SELECT c_custkey, c_nationkey, 1 FROM customer) GROUP BY 1")
+def concatenated_parties(spark, d):
+    """Suppliers and customers one after the other; of equal ids the supplier's nation counts."""
+    tables = [table(spark, d, t).select(F.col(k).alias("id"), F.col(n).alias("nation")) for t, k, n in (("supplier", "s_suppkey", "s_nationkey"), ("customer", "c_custkey", "c_nationkey"))]
+    return combine.concat_distinct(tables, ["id"])
+
+
+@query("SELECT c_custkey, c_mktsegment, n_name, r_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
+def merged_customers(spark, d):
+    """Customers with their nation and region, whose keys are checked to be unique."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", F.col("n_regionkey").alias("r_regionkey"))
+    regions = table(spark, d, "region").select("r_regionkey", "r_name")
+    merged = combine.checked_merge(combine.checked_merge(table(spark, d, "customer"), nations, ["c_nationkey"]), regions, ["r_regionkey"])
+    return merged.select("c_custkey", "c_mktsegment", "n_name", "r_name")

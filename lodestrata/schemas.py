@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The fields of the files and tables below are what they are delivered with.
 _S, _L = T.StringType(), T.LongType()
 _NAMED = T.ArrayType(T.StructType([T.StructField("id", _L), T.StructField("name", _S)]))
 
@@ -20,11 +21,6 @@ def strings(*names: str) -> T.StructType:
 
 
 RAW_MANIFEST = strings("snapshot_id", "board_token", "file_path", "fetched_at", "http_status", "job_count", "sha256", "bytes")
-SKILLS_CSV = strings("conceptType", "conceptUri", "skillType", "reuseLevel", "preferredLabel", "altLabels", "hiddenLabels", "status", "modifiedDate", "scopeNote", "definition", "inScheme", "description")
-GROUPS_CSV = strings("conceptType", "conceptUri", "preferredLabel", "altLabels", "hiddenLabels", "status", "modifiedDate", "scopeNote", "inScheme", "description", "code")
-SCHEMES_CSV = strings("conceptType", "conceptSchemeUri", "preferredLabel", "title", "status", "description", "hasTopConcept")
-BROADER_CSV = strings("conceptType", "conceptUri", "conceptLabel", "broaderType", "broaderUri", "broaderLabel")
-RELATIONS_CSV = strings("originalSkillUri", "originalSkillType", "relationType", "relatedSkillType", "relatedSkillUri")
 EVENTS = T.StructType([
     T.StructField("event_id", _L), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", _L),
     T.StructField("event_type", _S), T.StructField("value", T.DoubleType()), T.StructField("props", _S),

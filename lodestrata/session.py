@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -34,9 +36,12 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_lodestrata_shipped", False):
         return
     package = Path(__file__).parent
-    target = Path(tempfile.mkdtemp(prefix="lodestrata-")) / "lodestrata_package.zip"
+    folder = Path(tempfile.mkdtemp(prefix="lodestrata-"))  # the driver's own: what is sent from it is copied by Spark
+    atexit.register(shutil.rmtree, folder, True)
+    target = folder / "lodestrata_package.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for file in sorted(package.rglob("*.py")):
-            z.write(file, file.relative_to(package.parent).as_posix())
+        for file in sorted(package.rglob("*")):
+            if file.is_file() and "__pycache__" not in file.parts:
+                z.write(file, file.relative_to(package.parent).as_posix())
     context.addPyFile(str(target))
     context._lodestrata_shipped = True

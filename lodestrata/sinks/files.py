@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import fcntl
+import io
+import json
 import os
 import tempfile
 from pathlib import Path
@@ -29,9 +33,25 @@ def write_csv(df: DataFrame, path: str) -> None:
     csv_columns(df).write.options(header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
-def csv_text(df: DataFrame, most: int = 400) -> str:
-    """A CSV text for download, of at most ``most`` rows."""
-    return csv_columns(df).limit(most).toPandas().to_csv(index=False)
+#: Rows that may come to the driver as one text; more are an error, as such a table is written instead.
+MOST_ROWS = 100_000
+
+
+def _small(df: DataFrame) -> list:
+    """All rows of a small table; a larger one is refused, never cut."""
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows: write the table instead")
+    return rows
+
+
+def csv_text(df: DataFrame) -> str:
+    """All rows of a small table as a CSV text for download."""
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(df.columns)
+    writer.writerows(_small(csv_columns(df)))
+    return out.getvalue()
 
 
 def write_file(path: str | Path, text: str) -> None:
@@ -50,16 +70,31 @@ def write_file(path: str | Path, text: str) -> None:
         raise
 
 
+def append_lines(path: str | Path, rows: list[dict]) -> None:
+    """Add small records to a file of JSON lines of one machine: under a lock, and on the disk when this returns."""
+    with Path(path).open("a", encoding="utf-8") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        f.write("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows))
+        f.flush()
+        os.fsync(f.fileno())
+
+
+def clone_file(template: str | Path, path: str | Path) -> None:
+    """A copy of a template file; one that is there is never overwritten."""
+    with Path(template).open("rb") as source, Path(path).open("xb") as target:
+        target.write(source.read())
+
+
 def write_texts(df: DataFrame, path: str, key: str, text: str, split: str) -> None:
     """The texts, partitioned by split, with file-safe keys."""
     df.select(F.replace(F.col(key), F.lit(":"), F.lit("__")).alias("name"), F.col(text).alias("text"), split).write.partitionBy(split).json(path)
 
 
-def markdown_table(df: DataFrame, most: int = 400) -> str:
-    """A Markdown table of at most ``most`` rows, pipes escaped."""
+def markdown_table(df: DataFrame) -> str:
+    """A Markdown table of all rows of a small table, pipes escaped."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    lines += ["| " + " | ".join(cell(v) for v in row) + " |" for row in df.limit(most).collect()]
+    lines += ["| " + " | ".join(cell(v) for v in row) + " |" for row in _small(df)]
     return "\n".join(lines)
 
 

@@ -62,6 +62,19 @@ def replace(df: DataFrame, path: str, partition: str | None = None) -> None:
     fs.delete(jpath(old), True)
 
 
+def export(tables: dict[str, DataFrame], path: str, stamp: str, protected: tuple[str, ...] = ()) -> str:
+    """Tables in a new folder of their time below ``path``; a folder that is there or lies in a protected one is refused."""
+    target = f"{path.rstrip('/')}/{stamp}"
+    if any(target == p.rstrip("/") or target.startswith(p.rstrip("/") + "/") for p in protected):
+        raise ValueError(f"{target} lies in a protected folder")
+    first = next(iter(tables.values()))
+    if exists(first.sparkSession, target):
+        raise ValueError(f"{target} is there")
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{target}/{name}")
+    return target
+
+
 def snapshot(df: DataFrame, path: str, snapshot_id: str) -> None:
     """An immutable snapshot folder; an existing one is never overwritten."""
     df.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/snapshot_id={snapshot_id}")

@@ -41,6 +41,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return table
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut_counted(df: DataFrame, name: str = "cut") -> tuple[DataFrame, int]:
     """``cut``, with the number of rows, which is counted while they are written."""
     seen = Observation()

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestrata.schemas import EVENTS
+from lodestrata.sinks.publish import exists
+from lodestrata.storage import scratch
 
 
 def versions(events: DataFrame, scope: str, order: list[str]) -> DataFrame:
@@ -61,6 +64,19 @@ def running_versions(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id bigint, version bigint, total double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
 
 
+def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All that a stream gives for what is there now, as a table in the shared folder, with ``batch``, the micro-batch that gave it.
+
+    Every micro-batch is written to its own folder, so that one that is run again after a failure
+    replaces what it had written. The checkpoint lies in the shared folder too.
+    """
+    spark = stream.sparkSession
+    path, checkpoint = scratch(spark, "stream"), scratch(spark, "stream-checkpoint")
+    run_once(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"), checkpoint, mode)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).option("basePath", path).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def run_once(stream: DataFrame, sink, checkpoint: str, mode: str = "append"):
     """Process what is there now with ``sink(batch, number)`` and stop; the checkpoint lets the next run go on from there."""
     query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
