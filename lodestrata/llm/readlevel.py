@@ -1,9 +1,8 @@
 """Reading level of documents from the acquisition grades of their words.
 
-Every word, and every pair of neighbouring words, has a distribution over the graded texts; its
-acquisition grade is where that distribution's mass is half reached. A document is described by
-quantiles of the grades of the words and pairs that are known, and a calibrated ordinal scale over
-those quantiles gives its level.
+Every word has a distribution over the graded texts; its acquisition grade is where that
+distribution's mass is half reached. A document is described by quantiles of the grades of its
+known words, and a calibrated ordinal scale over those quantiles gives its level.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from lodestrata.llm.arrow import pieces
 BANDS = ("plain", "middle", "demanding")
 #: Graded documents to fit on, chosen by a hash of their ids, and the longest among them.
 SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 30_000
-#: Documents in which a word or pair must stand to get a grade.
+#: Documents in which a word must stand to get a grade.
 LEAST_DOCS = 3
 LEAST_WORDS = 40
 QUANTILES = (0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9)
@@ -43,13 +42,12 @@ def votes(labels: DataFrame, doc: str, rater: str, band: str) -> DataFrame:
 
 
 def terms(text: str) -> list[str]:
-    """The text's words and pairs of neighbours, in lower case."""
-    low = [w.lower() for w in _WORD.findall(text)]
-    return low + [f"{a} {b}" for a, b in zip(low, low[1:], strict=False)]
+    """The text's words in lower case."""
+    return _WORD.findall(text.lower())
 
 
 class Grades:
-    """Acquisition grades of terms and the scale from their quantiles to bands."""
+    """Acquisition grades of words and the scale from their quantiles to bands."""
 
     def __init__(self, texts: list[str], grades: list[int]):
         bags = [terms(t) for t in texts]
@@ -85,10 +83,7 @@ class Grades:
 
     def features(self, bag: list[str]) -> np.ndarray:
         known = np.array([g for g in map(self.of.get, bag) if g is not None])
-        if not len(known):
-            return np.full(len(QUANTILES) + 4, len(BANDS) / 2)
-        thirds = np.bincount(np.minimum(known.astype(int), len(BANDS) - 1), minlength=len(BANDS)) / len(known)
-        return np.concatenate([np.quantile(known, QUANTILES), [known.mean()], thirds])
+        return np.quantile(known, QUANTILES) if len(known) else np.full(len(QUANTILES), len(BANDS) / 2)
 
     def level(self, text: str) -> tuple[float, int]:
         """The text's place on the scale and its band."""
