@@ -22,7 +22,8 @@ def test_residue(text, kind):
     REAL, "", "   ", "Our error pages are famous: you design what people see when access is denied.", "You will reduce 404 and 503 errors on our public pages by half.", "JavaScript is required for this role, as is patience with old browsers.",
     "You replace lorem ipsum in our drafts with clear words that customers understand.", "You explain to clients how scripts and cookies are switched on in a browser.", "JavaScript Engineer [Remote]", "Candidates on short contracts [B2B] are welcome <3.",
     "You pick one of {Python, Go, Rust} for your own work.", "Pay grade: $70k-$95k (100% on site).", "Placeholder Copy Editor", "Error Page Designer", "Test Manager Bay", "Null Safety Engineer", "Template Editor", "Site Maintenance Planner", "#hiring in C#, F#", "We test, and test again, before we publish.",
-    "«Bonjour», dit le chef.", "Sin dolor: sed y nulla no bastan.", "Join our talent pool",
+    "«Bonjour», dit le chef.", "Relocation is not available for this role.", "Scheduled Maintenance Engineer", "Scheduled maintenance is planned by you and the team in the plant.", "Placeholder Copy Editor (m/f/d)", "To continue our growth we hire a planner.", "You add a title to every page of our guides.", "JavaScript required",
+    "You write the error messages that people see when a page is not found.", "In your browser you will test our products each day.", "Status 200 is what our customers want from us every day.", "Sin dolor: sed y nulla no bastan.", "Join our talent pool",
 ])
 def test_real_text(text):
     assert find_residue(text) == (0.0, 0.0, [])
@@ -31,7 +32,9 @@ def test_real_text(text):
 @pytest.mark.parametrize("text,kind", [
     ('{{ job.url | default("' + "x" * 500 + '") }}', "template"), ("(insert location)", "template"), ("[Firmenname]", "template"), ("Hello [recipient]", "template"), ("Hi XX_COMPANY_XX team", "template"),
     ("Error 1020: this request was blocked by the security service", "error"), ("Oops! That page can't be found.", "error"), ("Bitte JavaScript im Browser erlauben", "script"), ("This content requires scripting to be on", "script"),
-    ("TBC", "filler"), ("Suspendisse potenti nulla facilisi mauris", "filler"), ("Software Engineer - Lorem ipsum", "filler"), ("Software Engineer – TBD", "filler"), (f"{REAL} Lorem  ipsum dolor\u00a0sit amet, elit sed. {REAL}", "filler"),
+    ("TBC", "filler"), ("Suspendisse potenti nulla facilisi mauris", "filler"), ("Software Engineer - Lorem ipsum", "filler"), ("Software Engineer – TBD", "filler"), ("We plan each day. TODO: add responsibilities You will plan the work of the whole team", "filler"), ("Access denied The team plans the work of the whole year", "error"),
+    ("Die angeforderte Seite wurde nicht gefunden.", "error"), ("Fehler 404", "error"), ("La page que vous recherchez est introuvable.", "error"), ("Serviço temporariamente indisponível", "error"), ("Er is een onverwachte fout opgetreden.", "error"), ("The server encountered an internal error and was unable to complete your request.", "error"),
+    ("Questo sito richiede JavaScript.", "script"), ("You must have JavaScript enabled to view this page.", "script"), ("Voeg hier een beschrijving toe", "filler"), ("Ne pas publier", "filler"), ("XXXXXX", "filler"), ("todo: write about the benefits of working with us", "filler"), (f"{REAL} Lorem  ipsum dolor\u00a0sit amet, elit sed. {REAL}", "filler"),
 ])
 def test_shapes_that_were_missed_once(text, kind):
     assert kind in find_residue(text)[2]
