@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lodestrata.storage import cut_counted
+from lodestrata.storage import cut, discard
 
 
 def shared_key_components(entries: DataFrame, key: str, block: str) -> DataFrame:
@@ -18,16 +18,20 @@ def shared_key_components(entries: DataFrame, key: str, block: str) -> DataFrame
     it ends when no label falls. Rows with a null block stand alone; null keys are left out.
     """
     links = entries.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(block).alias("b")).distinct()
-    labels, _ = cut_counted(links.select("k", F.col("k").alias("c")).distinct(), "labels")
-    members, _ = cut_counted(links.where("b IS NOT NULL"), "members")
+    labels = before = cut(links.select("k", F.col("k").alias("c")).distinct(), "labels")
+    members = cut(links.where("b IS NOT NULL"), "members")
     while True:
         least = members.join(labels, "k").groupBy("b").agg(F.min("c").alias("c"))
         lowered = members.join(least, "b").groupBy("k").agg(F.min("c").alias("n"))
         new = labels.join(lowered, "k", "left").select("k", F.col("c").alias("old"), F.least("c", F.coalesce("n", "c")).alias("c"))
         jump = labels.select(F.col("k").alias("c"), F.col("c").alias("far"))
         stepped = new.join(jump, "c", "left").select("k", "old", F.least("c", F.coalesce("far", "c")).alias("c"))
-        after, _ = cut_counted(stepped, "labels")
-        if after.where("c < old").isEmpty():
+        seen = Observation()
+        after = cut(stepped.observe(seen, F.count_if(F.col("c") < F.col("old")).alias("n")), "labels")
+        discard(before)
+        before = after
+        if not seen.get["n"]:
+            discard(members)
             return after.select(F.col("k").alias(key), F.col("c").alias("component"))
         labels = after.select("k", "c")
 

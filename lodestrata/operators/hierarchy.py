@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lodestrata.storage import cut, cut_counted, together
+from lodestrata.storage import cut, cut_counted, discard, together
 
 #: Taking away and folding go on alone while a round removes at least this share of the links.
 FOLD_SHARE = 0.3
@@ -47,10 +47,10 @@ def cycle_nodes(links: DataFrame) -> DataFrame:
     rest, count = links.where(F.col("child") != F.col("parent")), None
     while count != 0:
         before = count
-        rest, count = cut_counted(_take_away(_take_away(rest)), "inner")
+        inner, count = cut_counted(_take_away(_take_away(rest)), "inner")
         if not count:
             break
-        runs, rings = _runs(rest)
+        runs, rings = _runs(inner)
         if folded is not None:
             moved = folded.join(runs.select(F.col("node").alias("head"), F.col("head").alias("far")), "head", "left")
             runs_so_far = moved.select("node", F.coalesce("far", "head").alias("head")).unionByName(runs)
@@ -58,10 +58,11 @@ def cycle_nodes(links: DataFrame) -> DataFrame:
         else:
             folded = runs
         # A link ends a run at its parent's side where its child isn't inside one; its parent is then seen as the run's head.
-        outer = rest.join(runs.select(F.col("node").alias("child")).unionByName(rings.select(F.col("node").alias("child"))), "child", "left_anti")
+        outer = inner.join(runs.select(F.col("node").alias("child")).unionByName(rings.select(F.col("node").alias("child"))), "child", "left_anti")
         seen = outer.join(runs.select(F.col("node").alias("parent"), "head"), "parent", "left").select("child", F.coalesce("head", "parent").alias("parent")).distinct()
         left = Observation()
         closed = cut(seen.observe(left, F.count_if(F.col("child") != F.col("parent")).alias("n")), "closed")
+        discard(inner)
         marks = closed.where(F.col("child") == F.col("parent")).select(F.col("child").alias("node")).unionByName(rings.select("node"))
         rest, count = closed.where(F.col("child") != F.col("parent")), left.get["n"]
         if before and count > before * (1 - FOLD_SHARE):
@@ -104,14 +105,19 @@ def _runs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs, total = cut_counted(inside.select(F.col("child").alias("node"), F.col("parent").alias("head"), F.lit(True).alias("moved")), "runs")
     moved, moving = total + 1, total
     while 0 < moving < moved:
-        above = runs.select(F.col("node").alias("head"), F.col("head").alias("far"))
         seen = Observation()
-        doubled = runs.join(above, "head", "left").select("node", F.coalesce("far", "head").alias("head"), F.col("far").isNotNull().alias("moved"))
-        after = cut(doubled.observe(seen, F.count_if("moved").alias("n")), "runs")
+        after = cut(_jump(runs).observe(seen, F.count_if("moved").alias("n")), "runs")
+        discard(runs)
         moved, moving, runs = moving, seen.get["n"], after
     return runs.where("NOT moved" if moving else "true").select("node", "head"), runs.where("moved" if moving else "false").select("node")
 
 
+def _jump(runs: DataFrame) -> DataFrame:
+    """Every node's head moved on to that head's head, if it has one."""
+    above = runs.select(F.col("node").alias("head"), F.col("head").alias("far"))
+    return runs.drop("moved").join(above, "head", "left").select("node", F.coalesce("far", "head").alias("head"), F.col("far").isNotNull().alias("moved"))
+
+
 def _separate(links: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """``(node)`` of cycles that show, and the links that may still lie on others, with their number.
 
@@ -134,7 +140,9 @@ def _separate(links: DataFrame) -> tuple[DataFrame, DataFrame, int]:
             "own", F.greatest("above", "far_up", "up").alias("above"), F.greatest("below", "far_down", "down").alias("below"),
             ((F.greatest("above", "far_up", "up") > F.col("above")) | (F.greatest("below", "far_down", "down") > F.col("below"))).alias("changed"),
         )
-        labels = cut(grown.observe(seen, F.count_if("changed").alias("n")).drop("changed"), "labels")
+        after = cut(grown.observe(seen, F.count_if("changed").alias("n")).drop("changed"), "labels")
+        discard(labels)
+        labels = after
         if not seen.get["n"]:
             break
     of = lambda side: labels.select(F.col("own").alias(side), F.col("above").alias(f"{side}_above"), F.col("below").alias(f"{side}_below"))

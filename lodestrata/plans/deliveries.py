@@ -90,7 +90,7 @@ def imported_taxonomy(spark, d):
 
 
 @query("WITH " + _VALID + f""", t AS (SELECT *, coalesce({_html_sql('raw_text')}, '') AS x FROM valid WHERE source_job_id IS NOT NULL)
-SELECT snapshot_id, board_token, source_job_id, internal_job_id, title, location, array_to_string(departments, '|') AS departments, source_company_name, sha256(nullif(lower(x), '')) AS text_hash,
+SELECT snapshot_id, board_token, source_job_id, internal_job_id, title, location, array_to_string(departments, '|') AS departments, source_company_name, sha256(nullif(replace(lower(x), 'ß', 'ss'), '')) AS text_hash,
   CAST(len(list_filter(string_split(x, ' '), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) AS BIGINT) AS word_count, sha256(x) AS sha FROM t""")
 def built_rows(spark, d):
     """The postings as raw board payloads, read as such and built anew."""
