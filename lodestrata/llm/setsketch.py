@@ -249,9 +249,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8)
 
 
 def _in_blocks(members: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``(p, class, block, blocks)`` of all members, and ``(class, blocks)``: classes beyond ``BUCKET`` rows are cut into blocks."""
-    sizes = members.groupBy("class").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"))
-    rows = members.select(F.col(key).alias("p"), "class").join(sizes, "class")
+    """``(p, class, block, blocks)`` of all members, and ``(class, blocks)`` of the classes beyond ``BUCKET`` rows, which are cut into blocks; there are at most rows / ``BUCKET`` of these."""
+    sizes = members.groupBy("class").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks")).where("blocks > 1")
+    rows = members.select(F.col(key).alias("p"), "class").join(sizes, "class", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     return rows.withColumn("block", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int")), sizes
 
 
@@ -267,8 +267,8 @@ def all_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     within = left.join(right, ["class", "x", "y"]).where((F.col("x") < F.col("y")) | (F.col("p") < F.col("q"))).select("p", "q")
     placed = links.select("class_a", "class_b")
     for side, block in (("a", "x"), ("b", "y")):
-        placed = placed.join(sizes.select(F.col("class").alias(f"class_{side}"), F.col("blocks").alias(f"blocks_{side}")), f"class_{side}")
-        placed = placed.withColumn(block, F.explode(F.sequence(F.lit(0), F.col(f"blocks_{side}") - 1)))
+        placed = placed.join(sizes.select(F.col("class").alias(f"class_{side}"), F.col("blocks").alias(f"blocks_{side}")), f"class_{side}", "left")
+        placed = placed.withColumn(block, F.explode(F.sequence(F.lit(0), F.coalesce(f"blocks_{side}", F.lit(1)) - 1)))
     a = rows.select(F.col("class").alias("class_a"), F.col("block").alias("x"), "p")
     b = rows.select(F.col("class").alias("class_b"), F.col("block").alias("y"), F.col("p").alias("q"))
     across = placed.join(a, ["class_a", "x"]).join(b, ["class_b", "y"]).where(F.col("p") != F.col("q")).select("p", "q")
