@@ -437,12 +437,30 @@ def statement_ordinals(spark, d):
     return found.select("key.*", "model_index", F.when(accepted, F.col("start")).alias("start"), accepted.alias("accepted"), F.col("ordinal").cast("bigint").alias("ordinal"))
 
 
+def _matches(spark, d):
+    """One-to-one matches between the spans of every two annotators of a posting."""
+    spans = table(spark, d, "skills").dropDuplicates(["annotation_id"]).where("evidence_start IS NOT NULL AND annotator_id IS NOT NULL").select(
+        F.concat_ws("|", "snapshot_id", "posting_id").alias("p"), F.col("annotation_id").alias("id"), F.col("evidence_start").alias("start"), F.col("evidence_end").alias("end"), "annotator_id"
+    )
+    who = spans.select("p", "annotator_id").distinct()
+    pairs = who.withColumnRenamed("annotator_id", "a").join(who.withColumnRenamed("annotator_id", "b"), "p").where("a < b")
+    side = lambda of: spans.withColumnRenamed("annotator_id", of).join(pairs, ["p", of]).select(F.concat_ws("|", "p", "a", "b").alias("posting_id"), *[F.col(c).alias(c) for c in ("id", "start", "end")])
+    return N.match_spans(side("a"), side("b"))
+
+
 @query()
 def annotator_matches(spark, d):
-    """One-to-one matches between the spans of the two most active annotators."""
-    spans = table(spark, d, "skills").dropDuplicates(["annotation_id"]).where("evidence_start IS NOT NULL").select(F.concat_ws("|", "snapshot_id", "posting_id").alias("posting_id"), F.col("annotation_id").alias("id"), F.col("evidence_start").alias("start"), F.col("evidence_end").alias("end"), "annotator_id")
-    a, b = ([r[0] for r in A.value_counts(spans, "annotator_id", 2).collect()] + [None, None])[:2]
-    return N.match_spans(spans.where(F.col("annotator_id") == F.lit(a)), spans.where(F.col("annotator_id") == F.lit(b)))
+    return _matches(spark, d)
+
+
+@query("""WITH s AS (SELECT DISTINCT ON (annotation_id) annotation_id, snapshot_id || '|' || posting_id AS p, annotator_id FROM skills WHERE evidence_start IS NOT NULL AND annotator_id IS NOT NULL AND annotation_id IS NOT NULL),
+w AS (SELECT DISTINCT p, annotator_id FROM s), q AS (SELECT x.p, x.annotator_id AS a, y.annotator_id AS b FROM w x JOIN w y ON x.p = y.p AND x.annotator_id < y.annotator_id)
+SELECT CAST(count(*) FILTER (WHERE s.annotator_id = a) AS BIGINT) AS spans_a, CAST(count(*) FILTER (WHERE s.annotator_id = b) AS BIGINT) AS spans_b FROM q JOIN s ON s.p = q.p""")
+def annotator_agreement(spark, d):
+    """How many spans the pairs of annotators have on either side: matches and what is left over must add up to them."""
+    found = N.agreement(_matches(spark, d))
+    matched = F.col("exact") + F.col("overlap")
+    return found.select((matched + F.col("only_a")).alias("spans_a"), (matched + F.col("only_b")).alias("spans_b"))
 
 
 # ---- checks and loads

@@ -27,9 +27,9 @@ def query(sql: str | None = None):
 
 
 # ---- taxonomy
-@query("SELECT concept_uri, max_by(preferred_label, (modified_date, -source_row_count)) AS preferred_label FROM esco_concepts WHERE modified_date IS NOT NULL GROUP BY 1")
+@query("SELECT concept_uri, max_by(coalesce(preferred_label, ''), (coalesce(modified_date, ''), -source_row_count)) AS preferred_label FROM esco_concepts GROUP BY 1")
 def newest_concepts(spark, d):
-    rows = table(spark, d, "esco_concepts").where("modified_date IS NOT NULL").select("concept_uri", "preferred_label", "modified_date", "source_row_count")
+    rows = table(spark, d, "esco_concepts").select("concept_uri", F.coalesce("preferred_label", F.lit("")).alias("preferred_label"), "modified_date", "source_row_count")
     return taxonomy.keep_newest(rows, "concept_uri", "modified_date", "source_row_count").select("concept_uri", "preferred_label")
 
 
